@@ -70,9 +70,9 @@ def fit_lexicon(labelled: DataFrame, subjects: list[str]) -> dict[str, tuple[flo
     v = rows[cols].to_numpy()
     n = v.sum(axis=1, keepdims=True)
     share = (v + prior) / (n + 1)
-    cautious = np.maximum(share - np.sqrt(share * (1 - share) / (n + 1)), 0.01)
-    odds = np.clip(np.log(cautious / prior), -2.5, 3)
-    keep = (odds.max(axis=1) > 0.8) & (rows["term"] != "").to_numpy()
+    cautious = np.clip(share - np.sqrt(share * (1 - share) / (n + 1)), 0.01, 0.99)
+    odds = np.clip(np.log(cautious / (1 - cautious)) - np.log(prior / (1 - prior)), -3, 4)
+    keep = (odds.max(axis=1) > 1.0) & (rows["term"] != "").to_numpy()
     return dict(zip(rows["term"][keep], map(tuple, odds[keep].round(3)), strict=True))
 
 
@@ -88,7 +88,7 @@ def read(text: str, lexicon: dict[str, np.ndarray], k: int) -> tuple[Counter, Co
             v = np.sum(found, axis=0)
             top = int(v.argmax())
             rest = np.delete(v, top).max() if k > 1 else -9.0
-            if v[top] > 1.0 and v[top] - rest > 0.7:
+            if v[top] > 1.2 and v[top] - rest > 0.7:
                 here[top] += 1
         if here:
             by_sentence.update(here)
