@@ -145,6 +145,10 @@ def strip_indented_start(s: str) -> str:
     return ""
 
 
+def _formatting(s: str) -> str:
+    return re.sub(r"'{2,}", "", s)
+
+
 _PLAIN: list[Callable[[str], str]] = [
     lambda s: re.sub(r"(?s)<!--.*?-->", "", s),
     lambda s: re.sub(r"(?is)<ref\b[^<>]*/>", "", s),
@@ -156,7 +160,7 @@ _PLAIN: list[Callable[[str], str]] = [
     strip_links,
     lambda s: re.sub(r"\[(?:https?|ftp)://[^\s\]]+\s*([^\]]*)\]", r"\1", s),
     lambda s: re.sub(r"</?[A-Za-z][^<>]*>", "", s),
-    lambda s: re.sub(r"'{2,}", "", s),
+    _formatting,
     lambda s: re.sub(r"__[A-Z]+__", "", s),
 ]
 
@@ -171,10 +175,10 @@ def strip_everything(s: str) -> str:
     return re.sub(r"\n(?:[ \t]*\n){2,}", "\n\n", s).strip()
 
 
-def strip_to_links(s: str) -> str:
-    """Plain text in which links to articles stay."""
+def strip_to_links(s: str, marks: bool = False) -> str:
+    """Plain text in which links to articles stay, and with `marks` bold and italics."""
     for f in _PLAIN:
-        if f is not strip_links:
+        if f is not strip_links and not (marks and f is _formatting):
             s = f(s)
     return re.sub(r"\n(?:[ \t]*\n){2,}", "\n\n", s).strip()
 
@@ -183,7 +187,7 @@ def strip_to_links(s: str) -> str:
 
 # Abbreviations after which a sentence goes on.
 HONORIFICS = frozenset("mr mrs ms dr prof rev gen sen rep gov capt col lt sgt st jr sr hon messrs mt ft no vs cf ca approx fig vol ed eds pp".split())
-INITIALS = re.compile(r"(?:^|[\s(])(?:[A-Za-z]\.)+$")
+INITIALS = re.compile(r"(?:^|[\s(])(?:[A-Z]\.|(?:[A-Za-z]\.){2,})$")
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
 
 
@@ -241,7 +245,7 @@ def define(s: str, form: str = "html", whole: bool = False, base: str = "") -> s
 
     In wiki form marks and links stay; in HTML they become tags, links to `base` + title.
     """
-    keep = strip_indented_start(strip_to_links(s)) if form != "plain" else strip_indented_start(strip_everything(s))
+    keep = strip_indented_start(strip_to_links(s, marks=True)) if form != "plain" else strip_indented_start(strip_everything(s))
     text = keep.partition("\n\n")[0]
     if not whole:
         text = next(iter(sentences(text)), "")

@@ -76,6 +76,16 @@ def frequent_senses(anchors: DataFrame, over: int) -> DataFrame:
 MOST_WORDS = 11
 
 
+#: Terms that are sent to the tasks to sift runs of words before they leave Python; more than that are only joined.
+MOST_SENT = 500_000
+
+
+def sent_terms(terms: DataFrame, col: str):
+    """The distinct terms as a broadcast set, or None if there are more than MOST_SENT: a sieve that changes no result."""
+    rows = terms.select(col).distinct().limit(MOST_SENT + 1).collect()
+    return terms.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows)) if len(rows) <= MOST_SENT else None
+
+
 def grams(text: str, most: int) -> set[str]:
     """The distinct runs of up to `most` words within each line, words parted by white space."""
     out: set[str] = set()
@@ -96,14 +106,16 @@ def document_occurrences(docs: DataFrame, text: str, anchors: DataFrame, process
     a = anchors.select(F.array_join(F.split(F.trim("text"), r"\s+"), " ").alias("key"), "text").distinct()
     most = min(MOST_WORDS, a.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1)
     body = process(F.col(text)) if process else F.col(text)
+    sieve = sent_terms(a, "key")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n: dict[str, int] = {}
             for t in b["t"]:
-                for g in grams(t, most):
+                for g in grams(t, most) if sieve is None else grams(t, most) & sieve.value:
                     n[g] = n.get(g, 0) + 1
-            yield pd.DataFrame({"key": list(n), "c": list(n.values())})
+            if n:
+                yield pd.DataFrame({"key": list(n), "c": list(n.values())})
 
     g = docs.select(body.alias("t")).where("t is not null").mapInPandas(count, "key string, c bigint")
     # the link texts drop what is none before anything is summed

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import is_date_title
+from .anchors import sent_terms
 from .graph import ARTICLE, DISAMBIGUATION
 from .relatedness import related
 
@@ -46,8 +47,10 @@ def spot(docs: DataFrame, key: str, text: str, terms: DataFrame, least: float =
     most = t.agg(F.max(F.size(F.split("text", r"""[\s{}()"'.,;:_-]+""")))).first()[0] or 1
     most = min(MOST_WORDS, most)
     kind = docs.schema[key].dataType.simpleString()
+    sieve = sent_terms(t, "text")
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None if sieve is None else sieve.value
         for b in batches:
             out = []
             for k, s in zip(b["k"], b["t"], strict=True):
@@ -59,7 +62,8 @@ def spot(docs: DataFrame, key: str, text: str, terms: DataFrame, least: float =
                     if e - a == 1 and a and low[a - 1] == "'":
                         continue
                     for _, e2 in spans[i : i + most]:
-                        out.append((k, a, e2, low[a:e2]))
+                        if known is None or low[a:e2] in known:
+                            out.append((k, a, e2, low[a:e2]))
             yield pd.DataFrame(out, columns=["doc", "start", "end", "term"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")

@@ -212,21 +212,33 @@ def article_sample(page: DataFrame, links: DataFrame, least_in: int, least_out:
     return n.orderBy(F.xxhash64(F.lit(seed), F.col("page_id")), "page_id").limit(size).select("page_id").orderBy("page_id")
 
 
+def common_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of the distinct pairs (a, b): how many x each has in edges (me, x), and how many both have.
+
+    The page of a pair with fewer neighbours is expanded and its neighbours are looked up, by page and neighbour,
+    among the other's: a page with most links is never expanded against a small one, and no key of the second join repeats.
+    """
+    p = pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    n = edges.groupBy("me").agg(F.count("*").alias("n"))
+    p = p.join(n.select(F.col("me").alias("a"), F.col("n").alias("n_a")), "a", "left").join(n.select(F.col("me").alias("b"), F.col("n").alias("n_b")), "b", "left")
+    few, many = F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")), F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a"))
+    q = p.where("n_a is not null and n_b is not null").select("a", "b", few.alias("me"), many.alias("other"))
+    both = q.join(edges, "me").select("a", "b", F.col("other").alias("me"), "x").join(edges, ["me", "x"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return p.join(both, ["a", "b"], "left").select("a", "b", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_a", "n_b", "shared")])
+
+
 def shared_links(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b, shared_in, only_a_in, only_b_in, shared_out, only_a_out, only_b_out) of the pairs (a, b)."""
-    p = pairs.select("a", "b").distinct()
-    i = in_edges(links).select(F.col("id").alias("me"), F.col("source").alias("x"))
-    o = links_of(links).distinct().select(F.col("f").alias("me"), F.col("t").alias("x"))
-    out = p
-    for name, e in (("in", i), ("out", o)):
-        both = p.join(e.withColumnRenamed("me", "a"), "a").join(e.withColumnRenamed("me", "b"), ["b", "x"]).groupBy("a", "b").agg(F.count("*").alias(f"shared_{name}"))
-        n = e.groupBy("me").agg(F.count("*").alias("n"))
-        out = out.join(both, ["a", "b"], "left")
-        for side in ("a", "b"):
-            out = out.join(n.select(F.col("me").alias(side), F.col("n").alias(f"n_{side}_{name}")), side, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    cols = [x for name in ("in", "out") for x in (z(f"shared_{name}").alias(f"shared_{name}"), *[(z(f"n_{s}_{name}") - z(f"shared_{name}")).alias(f"only_{s}_{name}") for s in ("a", "b")])]
-    return out.select("a", "b", *cols)
+    edges = {
+        "in": in_edges(links).select(F.col("id").alias("me"), F.col("source").alias("x")),
+        "out": links_of(links).distinct().select(F.col("f").alias("me"), F.col("t").alias("x")),
+    }
+    out = None
+    for name, e in edges.items():
+        c = common_neighbours(pairs, e)
+        c = c.select("a", "b", F.col("shared").alias(f"shared_{name}"), *[(F.col(f"n_{s}") - F.col("shared")).alias(f"only_{s}_{name}") for s in ("a", "b")])
+        out = c if out is None else out.join(c, ["a", "b"])
+    return out
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import in_edges, links_of, out_edges
+from .graph import common_neighbours, in_edges, links_of, out_edges
 
 
 def _unique(pairs: DataFrame) -> DataFrame:
@@ -18,16 +18,14 @@ def by_incoming(pairs: DataFrame, links: DataFrame, articles: int) -> DataFrame:
     """(a, b, rel): 1 - (ln max - ln both) / (ln N - ln min) of the in-link sets; a <= b.
 
     No in-links on a side, or none in common: 0; measures over 1 (and N no larger than a set) count as 1 apart.
-    Only the pairs asked for are joined with their links: a's sources are looked up among b's.
+    Only the pairs asked for are joined with their links, the smaller set of each looked up in the larger.
     """
-    p, e = _unique(pairs), in_edges(links)
-    size = e.groupBy("id").agg(F.count("*").alias("n"))
-    shared = p.join(e.withColumnRenamed("id", "a"), "a").join(e.withColumnRenamed("id", "b"), ["b", "source"]).groupBy("a", "b").agg(F.count("*").alias("ab"))
-    x = p.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b", "left").join(shared, ["a", "b"], "left")
-    up = F.ln(F.greatest("na", "nb")) - F.ln("ab")
-    down = F.lit(math.log(max(1, articles))) - F.ln(F.least("na", "nb"))
+    e = in_edges(links).select(F.col("id").alias("me"), F.col("source").alias("x"))
+    x = common_neighbours(_unique(pairs), e)
+    up = F.ln(F.greatest("n_a", "n_b")) - F.ln("shared")
+    down = F.lit(math.log(max(1, articles))) - F.ln(F.least("n_a", "n_b"))
     apart = F.when(down == 0, F.lit(1.0)).otherwise(up / down)
-    rel = F.when(F.col("na").isNull() | F.col("nb").isNull() | F.col("ab").isNull(), 0.0).otherwise(1 - F.when(apart > 1, 1.0).otherwise(apart))
+    rel = F.when(F.col("shared") == 0, 0.0).otherwise(1 - F.when(apart > 1, 1.0).otherwise(apart))
     return x.select("a", "b", F.round(rel, 6).alias("rel"))
 
 
