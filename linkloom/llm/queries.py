@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from .encode import encode_texts
-from .frequency import folded, marks, term_counts, whole, words
+from .frequency import folded, marks, repeats, term_counts, whole, words
 from .markup import clean_documents, structure
 from .mixture import Mixture, ramp
 from .simjoin import SimilarSets
@@ -74,6 +74,13 @@ def p6_ngrams(t):
     return term_counts(c, "content", words, most=3).where("occurrences > 2")
 
 
+@R.add("p6_repeats")
+def p6_repeats(t):
+    """Runs of words of any length of the contents that occur more than twice, as intervals of lengths with the same places."""
+    c = t("pagecontent").distinct().where("content is not null").withColumn("md5", F.md5("content"))
+    return repeats(c, ["co_id", "md5"], "content", words)
+
+
 _SETS = """s as (select pl_from as f, pl_to as k from pagelink where pl_from is not null and pl_to is not null group by 1, 2),
  z as (select f, count(*) as n from s group by 1 having count(*) >= 5), q as (select s.f, s.k, z.n from s join z using (f)),
  c as (select a.f as a, b.f as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from q a join q b on a.k = b.k and a.f < b.f and b.n >= 0.7 * a.n and a.n >= 0.7 * b.n group by 1, 2)"""

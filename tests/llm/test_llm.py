@@ -134,6 +134,36 @@ def test_term_counts(df, monkeypatch):
     assert rows_of(df([(" A\u00a0 b\t",), ("",), (None,)], "x string").select(Q.folded(F.col("x")))) == [(None,), (None,), ("a b",)]
 
 
+@pytest.mark.parametrize("seed,chunk", [(1, 50_000), (2, 15)])
+def test_repeats_of_any_length(df, monkeypatch, seed, chunk):
+    monkeypatch.setattr(Q, "TOKENS_IN_BLOCK", chunk)
+    rnd = random.Random(seed)
+    line = [rnd.choice("abcdefgh") for _ in range(40)]
+    docs = [" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(12))) for _ in range(25)]
+    docs += [" ".join(line[: rnd.randrange(20, 41)] + [c]) for c in "xyz"] + [" ".join(line[5:])] * 2 + ["q " * 13]
+    occ, recs = Counter(), Counter()
+    for d in docs:
+        w = d.split()
+        g = [" ".join(w[i : i + n]) for n in range(1, len(w) + 1) for i in range(len(w) - n + 1)]
+        occ.update(g)
+        recs.update(set(g))
+    want = sorted((k, occ[k], recs[k]) for k in occ if occ[k] > 2)
+    assert max(len(k.split()) for k, *_ in want) > 20
+    d = df([(i, x) for i, x in enumerate(docs)] + [(98, None), (99, "")], "id bigint, t string").repartition(3)
+    got = Q.repeats(d, ["id"], "t", Q.words).collect()
+    spell = lambda r, n: " ".join(docs[r["id"]].split()[r["at"] : r["at"] + n])
+    assert sorted((spell(r, n), r["occurrences"], r["records"]) for r in got for n in range(r["n_from"], r["n_to"] + 1)) == want
+    assert len(got) <= 2 * sum(len(x.split()) for x in docs)
+
+
+def test_repeats_spelled(df):
+    d = df([(i, "a b c d e f") for i in range(3)] + [(None, "b c"), (4, "!")], "id bigint, t string")
+    r = Q.repeats(d, ["id"], "t", Q.words)
+    assert rows_of(Q.spelled(r, d, ["id"], "t", Q.words, 5)) == [("a b c d e", 3, 3), ("b c d e f", 3, 3)]
+    assert ("b c", 4, 4) in rows_of(Q.spelled(r, d, ["id"], "t", Q.words, 2))
+    assert Q.repeats(df([], "id bigint, t string"), ["id"], "t", Q.words).count() == 0
+
+
 # --- similarity
 
 
