@@ -25,7 +25,7 @@ def p5_found(t):
 @R.add("p5_text")
 def p5_text(t):
     """Every content as clean text that keeps its structure."""
-    return clean_documents(t("pagecontent").distinct(), "co_id", "content").select("co_id", "text")
+    return clean_documents(t("pagecontent").distinct(), "co_id", "content", "co_model").select("co_id", "text")
 
 
 _ANCHOR = r"""a as (select distinct * from anchor), b as (select trim(regexp_replace(lower(anchor), '[ \t\x{A0}]+', ' ', 'g')) as term, coalesce(an_count, 0) as n from a),

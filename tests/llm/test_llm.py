@@ -101,6 +101,34 @@ def test_structure(df):
     assert rows_of(K.clean_documents(df([(1, None), (2, "")], "id bigint, c string"), "id", "c")) == [(1, None), (2, "")]
 
 
+def test_vote_keeps_elements_whatever_the_number(df):
+    page = "<h2><a href='u'>H</a></h2><ul class='see'><li><a href='x'>A</a><li><a href='y'>B</a></ul>\n\n<div class='bar'><a href='z'>Menu $m$</a></div>\n\nbody"
+    for n in (1, 19, 20, 60):
+        d = df([(i, page, "html") for i in range(n)], "id bigint, content string, model string")
+        assert {"ul.see>li", "div.bar"} <= {r["path"] for r in K.losing_paths(d, "content", "model").collect()}
+        s = K.structure(d, "id", "content", "model")
+        got = rows_of(s.where("id = 0 and kind <> 'text'").select("seq", "kind", "val"))
+        assert got == [(1, "heading", "H"), (2, "item", "A"), (3, "item", "B"), (4, "formula", "m")]
+        assert [r["val"] for r in s.where("id = 0 and kind = 'text'").collect()] == ["body"]
+        text = K.clean_documents(d, "id", "content", "model").where("id = 0").first()["text"]
+        assert text == "## H\n- A\n- B\n\n$$m$$\n\nbody"
+
+
+def test_open_losing_container_ends_with_its_paragraph():
+    s = "<nav class='top'><a href='x'>Home</a>\n\nkept\n\n<h2>T</h2>\n\n* e\n\n<math>f</math>"
+    assert K.containers(s) == [("nav.top", 4, 4)]
+    got = [(e.kind, e.val) for e in K.elements(s, frozenset({"nav.top"}))]
+    assert sorted(got) == [("formula", "f"), ("heading", "T"), ("item", "e"), ("text", "f"), ("text", "kept")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab \n*#=<>/p$`{}", max_size=60))
+def test_vote_never_changes_elements(s):
+    s = "<p>" + s
+    want = [(e.at, e.kind, e.val) for e in K.elements(s) if e.kind != "text"]
+    assert [(e.at, e.kind, e.val) for e in K.elements(s, frozenset({"p", "p>p"})) if e.kind != "text"] == want
+
+
 # --- frequency
 
 
