@@ -51,7 +51,9 @@ class Mixture:
     oftener than its cap. A target without a text can't be met: its share is 0 and the others keep their
     proportions. Targets of one source are added, the largest cap holds; null weights and caps count as 0.
     Unless `total` is given, it is the largest size at which every source with texts gets its weight within its cap;
-    with a larger one, sources that are used up stay below their weight. Without texts or targets the mixture is empty.
+    with a larger one, sources that are used up stay below their weight. So one short text bounds the whole mixture
+    if it is all that a source has (column `used` of `shares` tells how much of each source is taken); only a source without any is skipped.
+    A source with a schedule has its integral as weight. Without texts or targets the mixture is empty.
 
     Within a source texts are taken in the order of a seeded hash, whole passes first. Running sums go
     over buckets of that hash: sums per bucket, sums over buckets, then within each bucket, so that
@@ -69,14 +71,26 @@ class Mixture:
         sized = encode_texts(rows, "k", "t", tokenizer, folder, counts_only=True).select("k.*", "n_tokens").where("n_tokens > 0")
         self.texts = cut(sized.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).drop("h"))
         have = {r["source"]: (r["n"], r["c"]) for r in self.texts.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("c")).collect()}
-        usable = {s: (w, r) for s, (w, r) in goals.items() if s in have and w > 0 and r > 0}
+        self.seed, self._wanted_total, self._goals, self._have = seed, total, goals, have
+        self.schedules = schedules or {}
+        self.buckets = max(1, math.ceil(max((c for _, c in have.values()), default=0) / TEXTS_A_BUCKET))
+
+    @property
+    def schedules(self) -> dict[str, list[tuple[float, float]]]:
+        """source -> knots of its weight over time; those set replace the constant weights of the targets, and total and plan follow."""
+        return self._schedules
+
+    @schedules.setter
+    def schedules(self, given: dict[str, list[tuple[float, float]]]) -> None:
+        goals, have = self._goals, self._have
+        self._schedules = {s: given.get(s) or [(0.0, w), (1.0, w)] for s, (w, _) in goals.items()}
+        weight = {s: float(cumulative(knots)[2][-1]) for s, knots in self._schedules.items()}
+        usable = {s: (weight[s], r) for s, (_, r) in goals.items() if s in have and weight[s] > 0 and r > 0}
+        total = self._wanted_total
         if total is None:
             total = min((have[s][0] * r / w for s, (w, r) in usable.items()), default=0.0)
-        self.total, self.seed = float(total), seed
-        self.plan = {s: (w, have.get(s, (0, 0))[0], r, min(w * self.total, have[s][0] * r) if s in usable else 0.0) for s, (w, r) in goals.items()}
-        flat = lambda w: [(0.0, w), (1.0, w)]
-        self.schedules = {s: (schedules or {}).get(s) or flat(w) for s, (w, *_) in self.plan.items()}
-        self.buckets = max(1, math.ceil(max((c for _, c in have.values()), default=0) / TEXTS_A_BUCKET))
+        self.total = float(total)
+        self.plan = {s: (weight[s], have.get(s, (0, 0))[0], r, min(weight[s] * self.total, have[s][0] * r) if s in usable else 0.0) for s, (_, r) in goals.items()}
 
     def _table(self) -> DataFrame:
         rows = [(s, float(q), int(r), int(a)) for s, (_, a, r, q) in self.plan.items() if q > 0]
@@ -117,15 +131,17 @@ class Mixture:
         return out.orderBy("position", "source", "doc_id", "copy")
 
     def shares(self) -> DataFrame:
-        """(source, wanted, reached, tokens, available, texts, draws) of every target."""
-        got = self.draws().groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.count("*").alias("draws"))
+        """(source, wanted, reached, tokens, available, texts, draws, used) of every target; used: the part of the available tokens that is drawn at all."""
+        once = F.sum(F.when(F.col("copy") == 1, F.col("n_tokens"))).alias("once")
+        got = self.draws().groupBy("source").agg(once, F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("texts"), F.count("*").alias("draws"))
         rows = [(s, float(w), int(a)) for s, (w, a, _, _) in self.plan.items()]
         goal = self.texts.sparkSession.createDataFrame(rows, "source string, wanted double, available bigint")
         all_tokens = got.agg(F.sum("tokens").alias("all"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
         total = all_tokens.first()["all"] or 0
         reached = F.round(F.coalesce("tokens", F.lit(0)) / F.lit(max(1, total)), 6).alias("reached")
-        return goal.join(got, "source", "left").select("source", "wanted", reached, zero("tokens"), "available", zero("texts"), zero("draws"))
+        used = F.round(F.coalesce("once", F.lit(0)) / F.greatest("available", F.lit(1)), 6).alias("used")
+        return goal.join(got, "source", "left").select("source", "wanted", reached, zero("tokens"), "available", zero("texts"), zero("draws"), used)
 
 
 def ramp(weights: dict[str, float], first: set[str]) -> dict[str, list[tuple[float, float]]]:

@@ -326,6 +326,16 @@ def test_curriculum(df):
     assert sum(r["source"] == "a" for r in first) / len(first) == pytest.approx(0.625, abs=0.03)
 
 
+def test_amounts_follow_schedules(df):
+    docs = [(s, f"{s} text {i} of some length") for s in "ab" for i in range(200)]
+    knots = {"a": [(0.0, 0.9), (1.0, 0.6)]}  # an integral of 0.75, where the target says 0.5
+    for m in (mix(df, docs, [("a", 0.5, 1), ("b", 0.25, 1)], schedules=knots), mix(df, docs, [("a", 0.5, 1), ("b", 0.25, 1)])):
+        m.schedules = knots
+        s = {r["source"]: r for r in m.shares().collect()}
+        assert s["a"]["reached"] == pytest.approx(0.75, abs=0.01) and s["a"]["wanted"] == pytest.approx(0.75)
+        assert s["a"]["used"] == pytest.approx(1, abs=0.01) and s["b"]["used"] == pytest.approx(1 / 3, abs=0.01)
+
+
 # --- subjects
 
 
