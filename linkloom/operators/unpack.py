@@ -32,15 +32,19 @@ def pieces(data: str, cutter: re.Pattern) -> list[tuple[int, int, bool]]:
 
 
 def spans(data: str, parts: list[tuple[int, int, bool]], most: int) -> set[str]:
-    """The stretches of 2..most plain pieces, the first with a letter, that could be one known value."""
+    """The stretches of 2..most plain pieces, with a letter anywhere, that could be one known value."""
     out: set[str] = set()
+    letter = [any(c.isalpha() for c in data[a:b]) for a, b, _ in parts]
     for i, (a, _, q) in enumerate(parts):
-        if q or not any(c.isalpha() for c in data[a : parts[i][1]]):
+        if q:
             continue
+        has = letter[i]
         for j in range(i + 1, min(len(parts), i + most)):
             if parts[j][2]:
                 break
-            out.add(data[a : parts[j][1]])
+            has = has or letter[j]
+            if has:
+                out.add(data[a : parts[j][1]])
     return out
 
 
@@ -82,7 +86,7 @@ def unpack(df: DataFrame, key: str, data: str, dictionary: DataFrame, value: str
     Values are parted by any of `delimiters` or by white space, mixed at will, or stand in double quotes in
     which quotes are doubled or escaped by a backslash; a quote that does not close before a delimiter is an
     ordinary character. Unquoted values with delimiters inside are found by `dictionary`.`value`, the known
-    whole values: only those that occur in a field as a stretch of pieces are fetched (an equi-join on the
+    whole values, which have a letter somewhere: only those that occur in a field as a stretch of pieces are fetched (an equi-join on the
     stretch, so neither the dictionary nor its frequent words gather anywhere), put in an automaton per batch
     and weighed against the single pieces by dynamic programming. Enclosing quotes and blanks at the ends are
     dropped; empty slots and values take no position. Null, empty and valueless fields give no rows, a null

@@ -117,6 +117,14 @@ def test_unpack(df):
     assert all([p for p, _ in x] == list(range(1, len(x) + 1)) for x in got.values())
 
 
+def test_unpack_titles_that_begin_with_a_number(df):
+    words = df([("2001: A Space Odyssey",), ("100 metres",), ("3:4",)], "t string")
+    d = df([(1, "7:2001: A Space Odyssey|8"), (2, "5 100 metres"), (3, "100:12"), (4, "3:4 x")], "li bigint, data string")
+    got = rows_of(U.unpack(d, "li", "data", words, "t"))
+    want = {1: ["7", "2001: A Space Odyssey", "8"], 2: ["5", "100 metres"], 3: ["100", "12"], 4: ["3", "4", "x"]}
+    assert got == [(k, p, v) for k, x in want.items() for p, v in enumerate(x, 1)]
+
+
 def test_unpack_empty_and_long(df):
     words = df([], "t string")
     assert U.unpack(df([], "li bigint, data string"), "li", "data", words, "t").count() == 0
