@@ -19,7 +19,7 @@ ROUNDS = 40
 class Hierarchy:
     """`closure` (a, b, depth[, path]): a reaches b by `depth` >= 1 links at least; a = b on a ring.
 
-    `edges` (p, c): the distinct links. `sizes` (node, size): descendants of the peeled nodes, themselves included.
+    `edges` (p, c): the distinct links. `sizes` (node, size): the descendants of every node, itself included, counted from the closure.
     """
 
     edges: DataFrame
@@ -129,5 +129,7 @@ def hierarchy(links: DataFrame, parent: str, child: str, paths: bool = False, pe
     under = hang.unionByName(then(closed, hang))
     parts = closed.unionByName(under).unionByName(then(shortest(under), low)) if levels else closed.unionByName(under)
     closure = cut(shortest(parts).unionByName(low)).select(*cols)
-    sizes = low.groupBy(F.col("a").alias("node")).agg((F.count("*") + 1).alias("size"))
+    nodes = e.select(F.col("p").alias("node")).union(e.select("c")).distinct()
+    below = closure.where("a <> b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    sizes = nodes.join(below, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + 1).alias("size"))
     return Hierarchy(e, closure, sizes)

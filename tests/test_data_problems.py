@@ -194,3 +194,9 @@ def test_hierarchy_paths(df):
     h = check_hierarchy(df, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6), (6, 5)], paths=True, peel_levels=1)
     path = {(r["root_id"], r["node_id"]): list(r["path"]) for r in h.under_roots().collect()}
     assert path[1, 1] == [1] and path[1, 4] == [1, 2, 4] and path[1, 6] == [1, 2, 4, 5, 6]
+
+
+def test_hierarchy_sizes_of_all_nodes(df):
+    edges = [(i, i + 1) for i in range(9)] + [(20, 21), (21, 20), (21, 9)]  # a chain deeper than the peeled levels, and a ring
+    h = hierarchy(df(edges, "p bigint, c bigint"), "p", "c", peel_levels=2)
+    assert rows_of(h.sizes, "node", "size") == [(i, 10 - i) for i in range(10)] + [(20, 3), (21, 3)]
