@@ -64,27 +64,63 @@ def strip_excess_newlines(c: Column) -> Column:
 # --- rules that nest: one scanner --------------------------------------------------------------------------------
 
 
-def balanced(s: str, a: str, b: str, inner: Callable[[str], str]) -> str:
-    """Each outermost stretch between a and b replaced by inner(what stands between); unbalanced marks stay."""
-    out: list[str] = []
+def _pairs(s: str, a: str, b: str) -> list[tuple[int, int]]:
+    """(start of a, end of b) of every matched pair, in the order of their ends; marks without a partner are in none. One pass with a stack."""
     starts: list[int] = []
-    marks = re.compile(f"{re.escape(a)}|{re.escape(b)}")
-    done = 0
-    for m in marks.finditer(s):
+    out = []
+    for m in re.finditer(f"{re.escape(a)}|{re.escape(b)}", s):
         if m.group() == a:
             starts.append(m.start())
         elif starts:
-            i = starts.pop()
-            if not starts:
-                out.append(s[done:i])
-                out.append(inner(s[i + len(a) : m.start()]))
-                done = m.end()
-    if starts and done <= starts[0]:  # an opening mark that never closes hides no later pair
-        i = starts[0] + len(a)
-        return "".join(out) + s[done:i] + balanced(s[i:], a, b, inner)
+            out.append((starts.pop(), m.end()))
+    return out
+
+
+def balanced(s: str, a: str, b: str, inner: Callable[[str], str]) -> str:
+    """Each outermost stretch between a and b replaced by inner(what stands between); unbalanced marks stay and hide no pair."""
+    outer: list[tuple[int, int]] = []
+    for i, e in _pairs(s, a, b):
+        while outer and outer[-1][0] > i:
+            outer.pop()
+        outer.append((i, e))
+    out, done = [], 0
+    for i, e in outer:
+        out += [s[done:i], inner(s[i + len(a) : e - len(b)])]
+        done = e
     return "".join(out) + s[done:]
 
 
+def from_inside(s: str, a: str, b: str, inner: Callable[[str], str]) -> str:
+    """Every stretch between a and b replaced by inner(what stands between), the innermost first; unbalanced marks stay."""
+    pairs = _pairs(s, a, b)
+    if not pairs:
+        return s
+    marks = sorted([(i, 1) for i, _ in pairs] + [(e - len(b), 0) for _, e in pairs])
+    open_: list[list[str]] = [[]]
+    done = 0
+    for at, opens in marks:
+        open_[-1].append(s[done:at])
+        done = at + len(a if opens else b)
+        if opens:
+            open_.append([])
+        else:
+            x = "".join(open_.pop())
+            open_[-1].append(inner(x))
+    return "".join(open_[0]) + s[done:]
+
+
+def between(s: str, start: re.Pattern, end: re.Pattern, put: Callable[[str], str] = lambda x: "") -> str:
+    """Each stretch from a match of `start` to the next of `end` replaced; a start without an end stays. One pass."""
+    out, i = [], 0
+    while m := start.search(s, i):
+        e = end.search(s, m.end())
+        if not e:
+            break
+        out += [s[i : m.start()], put(s[m.start() : e.end()])]
+        i = e.end()
+    return "".join(out) + s[i:] if out else s
+
+
 def strip_templates(s: str) -> str:
     return balanced(s, "{{", "}}", lambda _: "")
 
@@ -94,14 +130,13 @@ def strip_tables(s: str) -> str:
 
 
 def _label(x: str) -> str:
-    """A link's text: what stands after the last bar outside of links in it."""
-    x = strip_links(x)
+    """A link's text: what stands after the last bar."""
     return x.rpartition("|")[2] if "|" in x[1:] else x
 
 
 def strip_links(s: str) -> str:
     """Links become their texts, links in links too."""
-    return balanced(s, "[[", "]]", _label) if "[[" in s else s
+    return from_inside(s, "[[", "]]", _label) if "[[" in s else s
 
 
 def _prefix(x: str) -> str:
@@ -149,10 +184,14 @@ def _formatting(s: str) -> str:
     return re.sub(r"'{2,}", "", s)
 
 
+_COMMENT, _COMMENT_END = re.compile("<!--"), re.compile("-->")
+_REF, _REF_END = re.compile(r"(?i)<ref\b[^<>]*>"), re.compile(r"(?i)</ref\s*>")
+_LINK_TAG, _LINK_END = re.compile(r"(?i)<a\b[^<>]*>"), re.compile(r"(?i)</a\s*>")
+
 _PLAIN: list[Callable[[str], str]] = [
-    lambda s: re.sub(r"(?s)<!--.*?-->", "", s),
+    lambda s: between(s, _COMMENT, _COMMENT_END),
     lambda s: re.sub(r"(?is)<ref\b[^<>]*/>", "", s),
-    lambda s: re.sub(r"(?is)<ref\b[^<>]*>.*?</ref\s*>", "", s),
+    lambda s: between(s, _REF, _REF_END),
     strip_templates,
     strip_tables,
     strip_images,
@@ -189,6 +228,7 @@ def strip_to_links(s: str, marks: bool = False) -> str:
 HONORIFICS = frozenset("mr mrs ms dr prof rev gen sen rep gov capt col lt sgt st jr sr hon messrs mt ft no vs cf ca approx fig vol ed eds pp".split())
 INITIALS = re.compile(r"(?:^|[\s(])(?:[A-Z]\.|(?:[A-Za-z]\.){2,})$")
 _END = re.compile(r"[.!?]+[\"')\]]*(?=\s|$)")
+_NEXT = re.compile(r"\S")
 
 
 def sentences(s: str, question_marks: bool = True) -> list[str]:
@@ -203,14 +243,18 @@ def sentences(s: str, question_marks: bool = True) -> list[str]:
         mark = m.group()[0]
         if mark == "?" and not question_marks:
             continue
-        after = masked[m.end() :].lstrip()
         if mark == ".":
-            word = re.search(r"\S*$", masked[start : m.start()]).group().lower().strip("(\"'")
+            after = _NEXT.search(masked, m.end())
+            after = after.group() if after else ""
+            i = m.start()
+            while i > start and not masked[i - 1].isspace():
+                i -= 1
+            word = masked[i : m.start()].lower().strip("(\"'")
             if word in HONORIFICS and after:
                 continue
-            if INITIALS.search(masked[start : m.start() + 1]) and after:
+            if INITIALS.search(masked[max(start, i - 1) : m.start() + 1]) and after:
                 continue
-            if after[:1].islower() or (after[:1].isdigit() and word in ("no", "nr", "p")):
+            if after.islower() or (after.isdigit() and word in ("no", "nr", "p")):
                 continue
         if x := s[start : m.end()].strip():
             out.append(x)
@@ -284,19 +328,27 @@ def preprocess_wiki(s: str) -> dict:
 
     for a, b, f in (("{{", "}}", None), ("{|", "|}", None), ("[[", "]]", link)):
         s = balanced(s, a, b, f or (lambda x: "  " + _blank(x) + "  "))
-    for rule in (r"(?s)<!--.*?-->", r"(?is)<ref\b[^<>]*/>", r"(?is)<ref\b[^<>]*>.*?</ref\s*>", r"</?[A-Za-z][^<>]*>", r"\[(?:https?|ftp)://[^\]]*\]", r"'{2,}", r"(?m)^=+[^=\n]+=+[ \t]*$", r"(?m)^[*#:;]+", r"&#?\w+;"):
+    s = between(s, _COMMENT, _COMMENT_END, _blank)
+    s = between(re.sub(r"(?is)<ref\b[^<>]*/>", lambda m: _blank(m[0]), s), _REF, _REF_END, _blank)
+    for rule in (r"</?[A-Za-z][^<>]*>", r"\[(?:https?|ftp)://[^\]]*\]", r"'{2,}", r"(?m)^=+[^=\n]+=+[ \t]*$", r"(?m)^[*#:;]+", r"&#?\w+;"):
         s = re.sub(rule, lambda m: _blank(m[0]), s)
     return {"text": s, "context": context, "banned": banned, "splits": splits}
 
 
 def preprocess_html(s: str) -> dict:
     """text (of the same length, markup and links blanked), context (title, keywords, description, link texts), banned (none), splits (starts of regions)."""
-    context = [m[1].strip().lower() for m in re.finditer(r"(?is)<title\b[^<>]*>(.*?)</title", s)]
+    context: list[str] = []
+    between(s, re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title"), lambda x: context.append(x[x.index(">") + 1 : -7].strip().lower()) or "")
     for m in re.finditer(r"(?is)<meta\b[^<>]*\bname\s*=\s*[\"'](?:keywords|description)[\"'][^<>]*\bcontent\s*=\s*[\"']([^\"']*)", s):
         context.append(m[1].strip().lower())
-    context += [re.sub(r"<[^<>]*>", "", m[1]).strip() for m in re.finditer(r"(?is)<a\b[^<>]*>(.*?)</a\s*>", s)]
+    between(s, _LINK_TAG, _LINK_END, lambda x: context.append(re.sub(r"<[^<>]*>", "", x).strip()) or "")
     splits = [m.start() for m in re.finditer(r"(?i)<(?:div|table|h1|h2)\b", s)]
-    for rule in (r"(?is)<head\b.*?</head\s*>", r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1\s*>", r"(?is)<a\b[^<>]*>.*?</a\s*>", r"</?[A-Za-z][^<>]*>", r"&#?\w+;"):
+    s = between(s, re.compile(r"(?i)<head\b"), re.compile(r"(?i)</head\s*>"), _blank)
+    s = between(s, _COMMENT, _COMMENT_END, _blank)
+    for t in ("script", "style"):
+        s = between(s, re.compile(rf"(?i)<{t}\b"), re.compile(rf"(?i)</{t}\s*>"), _blank)
+    s = between(s, _LINK_TAG, _LINK_END, _blank)
+    for rule in (r"</?[A-Za-z][^<>]*>", r"&#?\w+;"):
         s = re.sub(rule, lambda m: _blank(m[0]), s)
     return {"text": s, "context": [c for c in context if c], "banned": [], "splits": splits}
 

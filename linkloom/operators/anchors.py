@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import ARTICLE, DISAMBIGUATION, REDIRECT
+from .sieve import Sieve, make_sieve
 
 
 def anchor_relation(df: DataFrame, text: str, to: str, n: str, process: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -76,50 +78,50 @@ def frequent_senses(anchors: DataFrame, over: int) -> DataFrame:
 MOST_WORDS = 11
 
 
-#: Terms that are sent to the tasks to sift runs of words before they leave Python; more than that are only joined.
-MOST_SENT = 500_000
+def word_beginnings(key: str) -> list[str]:
+    """The first word, the first two, ... of words parted by one space."""
+    w = key.split(" ")
+    return [" ".join(w[:i]) for i in range(1, len(w) + 1)]
 
 
-def sent_terms(terms: DataFrame, col: str):
-    """The distinct terms as a broadcast set, or None if there are more than MOST_SENT: a sieve that changes no result."""
-    rows = terms.select(col).distinct().limit(MOST_SENT + 1).collect()
-    return terms.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows)) if len(rows) <= MOST_SENT else None
-
-
-def grams(text: str, most: int) -> set[str]:
-    """The distinct runs of up to `most` words within each line, words parted by white space."""
+def runs(text: str, most: int, known: Sieve) -> set[str]:
+    """The distinct runs of up to `most` words within each line, words parted by white space, that the sieve lets through."""
     out: set[str] = set()
     for line in text.splitlines():
         w = line.split()
-        for i in range(len(w)):
+        for i, s in enumerate(w):
             for j in range(i + 1, min(len(w), i + most) + 1):
-                out.add(" ".join(w[i:j]))
+                if not known.begins(s):
+                    break
+                if known.whole(s):
+                    out.add(s)
+                if j < len(w):
+                    s = f"{s} {w[j]}"
     return out
 
 
 def document_occurrences(docs: DataFrame, text: str, anchors: DataFrame, process: Callable[[Column], Column] | None = None) -> DataFrame:
     """(text, occ_count): in how many documents each link text occurs as a run of words of one line.
 
-    Runs as long as the longest link text (MOST_WORDS words at most, longer texts have 0) are counted per batch, so that
-    frequent ones cross the shuffle once a batch, and semi-joined with the link texts. Null texts hold nothing.
+    Runs as long as the longest link text (MOST_WORDS words at most, longer texts have 0) that a sieve of bounded size lets through are counted per
+    batch, so that frequent ones cross the shuffle once a batch, and semi-joined with the link texts. Null texts hold nothing.
     """
-    a = anchors.select(F.array_join(F.split(F.trim("text"), r"\s+"), " ").alias("key"), "text").distinct()
+    a = cut(anchors.select(F.array_join(F.split(F.trim("text"), r"\s+"), " ").alias("key"), "text").distinct())
     most = min(MOST_WORDS, a.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1)
     body = process(F.col(text)) if process else F.col(text)
-    sieve = sent_terms(a, "key")
+    sent = make_sieve(a, "key", word_beginnings)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Sieve(sent.value)
         for b in batches:
             n: dict[str, int] = {}
             for t in b["t"]:
-                for g in grams(t, most) if sieve is None else grams(t, most) & sieve.value:
+                for g in runs(t, most, known):
                     n[g] = n.get(g, 0) + 1
             if n:
                 yield pd.DataFrame({"key": list(n), "c": list(n.values())})
 
-    g = docs.select(body.alias("t")).where("t is not null").mapInPandas(count, "key string, c bigint")
-    # the link texts drop what is none before anything is summed
-    g = g.join(a.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("c").alias("c"))
+    g = docs.select(body.alias("t")).where("t is not null").mapInPandas(count, "key string, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
     return a.join(g, "key", "left").select("text", F.coalesce("c", F.lit(0)).alias("occ_count"))
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import is_date_title
-from .anchors import sent_terms
 from .graph import ARTICLE, DISAMBIGUATION
 from .relatedness import related
+from .sieve import Sieve, make_sieve
 
 #: Most words of a spotted term.
 MOST_WORDS = 20
@@ -40,17 +40,17 @@ def spot(docs: DataFrame, key: str, text: str, terms: DataFrame, least: float =
 
     `terms` (text, link_probability) hold the terms in lower case; those below `least` are not looked for. Terms
     begin and end at boundaries and have at most MOST_WORDS words, or as many as the longest term. The stretches
-    of each text are made in Python, batch by batch, and matched by an equi-join, so the terms need fit no memory.
+    of each text that a sieve of bounded size lets through are matched by an equi-join, so the terms need fit no memory.
     A single letter after an apostrophe is no term. Positions count characters from 0, the end is exclusive.
     """
     t = terms.where((F.col("link_probability") >= least) & (F.col("text") != "")).select("text", "link_probability").distinct()
     most = t.agg(F.max(F.size(F.split("text", r"""[\s{}()"'.,;:_-]+""")))).first()[0] or 1
     most = min(MOST_WORDS, most)
     kind = docs.schema[key].dataType.simpleString()
-    sieve = sent_terms(t, "text")
+    sent = make_sieve(t, "text", lambda x: [x[spans[0][0] : e] for spans in [word_spans(x)] if spans for _, e in spans] + [x])
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = None if sieve is None else sieve.value
+        known = Sieve(sent.value)
         for b in batches:
             out = []
             for k, s in zip(b["k"], b["t"], strict=True):
@@ -62,8 +62,11 @@ def spot(docs: DataFrame, key: str, text: str, terms: DataFrame, least: float =
                     if e - a == 1 and a and low[a - 1] == "'":
                         continue
                     for _, e2 in spans[i : i + most]:
-                        if known is None or low[a:e2] in known:
-                            out.append((k, a, e2, low[a:e2]))
+                        term = low[a:e2]
+                        if not known.begins(term):
+                            break
+                        if known.whole(term):
+                            out.append((k, a, e2, term))
             yield pd.DataFrame(out, columns=["doc", "start", "end", "term"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")

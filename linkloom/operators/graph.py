@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, drop
-from .hierarchy import hierarchy
 
 ARTICLE, CATEGORY, REDIRECT, DISAMBIGUATION = 1, 2, 3, 4
 #: Most rounds of pointer jumping: chains of 2 ** 40 redirects.
@@ -83,63 +82,67 @@ def resolve_redirects(redirect: DataFrame) -> DataFrame:
     """(rd_from, rd_to, hops): where each redirect ends; of several targets the smallest counts.
 
     A ring of redirects has no end: a page on it stays with itself, one that leads to it with the smallest page
-    of the ring. Pointers are doubled each round (each page learns its target's target), so chains need a logarithm of their length
-    in rounds.
+    of the ring. Pointers are doubled each round (each page learns its target's target), so chains need a logarithm of
+    their length in rounds. A chain has pages of every length up to its own, so a round in which none comes to its end
+    leaves none but those that lead to rings; their walks all stand on rings once the number of places they stand on no longer falls.
     """
     first = redirect.where("rd_from is not null and rd_to is not null").groupBy("rd_from").agg(F.min("rd_to").alias("rd_to"))
-    cur = cut(first.select(F.col("rd_from").alias("a"), F.col("rd_to").alias("b"), F.lit(1).cast("bigint").alias("hops"), F.least("rd_from", "rd_to").alias("low"), F.lit(True).alias("more")))
+    cur = cut(first.select(F.col("rd_from").alias("a"), F.col("rd_to").alias("b"), F.lit(1).cast("bigint").alias("hops"), F.lit(True).alias("more")))
+    before = (-1, -1)
     for _ in range(ROUNDS):
-        nxt = cur.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("hops").alias("h2"), F.col("low").alias("low2"))
-        step = cur.where("more").join(nxt, "b", "left").select("a", F.coalesce("b2", "b").alias("b"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("b2").isNotNull().alias("more"))
+        nxt = cur.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("hops").alias("h2"))
+        step = cur.where("more").join(nxt, "b", "left").select("a", F.coalesce("b2", "b").alias("b"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.col("b2").isNotNull().alias("more"))
         new = cut(cur.where("not more").unionByName(step))
         drop(cur)
-        # what still moves after as many hops as there are redirects can only be on or before a ring
-        moving, total = new.where("more").agg(F.count("*"), F.min("hops")).first(), new.count()
         cur = new
-        if not moving[0] or (moving[1] or 0) > total:
+        now = tuple(cur.where("more").agg(F.count("*"), F.count_distinct("b")).first())
+        if not now[0] or now == before:
             break
+        before = now
     done = cur.where("not more").select("a", "b", "hops")
-    stuck = cur.where("more").select("a", "low")
-    if stuck.isEmpty():
+    if not now[0]:
         return done.select(F.col("a").alias("rd_from"), F.col("b").alias("rd_to"), "hops")
-    # a page is on the ring if its walk of many hops returns to it: then it is reached from the end of its own walk
-    ends = cur.where("more").select(F.col("b").alias("on")).distinct()
-    ring = _closure_of_ring(first.select(F.col("rd_from").alias("a"), F.col("rd_to").alias("b")), ends)
-    lows = cur.where("more").select("a", F.col("b").alias("on")).join(ring.select("on", "smallest"), "on")
+    stuck = cur.where("more").select("a", F.col("b").alias("on"))
+    # where the walks stand are all pages of the rings
+    ring = _smallest_of_rings(first.select(F.col("rd_from").alias("a"), F.col("rd_to").alias("b")).join(stuck.select(F.col("on").alias("a")).distinct(), "a", "left_semi"))
     self_ = ring.select(F.col("on").alias("a"), F.lit(True).alias("is_on"))
-    out = lows.join(self_, "a", "left").select("a", F.when(F.col("is_on"), F.col("a")).otherwise(F.col("smallest")).alias("b"), F.lit(None).cast("bigint").alias("hops"))
+    out = stuck.join(ring, "on").join(self_, "a", "left").select("a", F.when(F.col("is_on"), F.col("a")).otherwise(F.col("smallest")).alias("b"), F.lit(None).cast("bigint").alias("hops"))
     return done.unionByName(out).select(F.col("a").alias("rd_from"), F.col("b").alias("rd_to"), "hops")
 
 
-def _closure_of_ring(step: DataFrame, ends: DataFrame) -> DataFrame:
-    """(on, smallest) of every page on a ring through one of `ends`, by doubling with a running minimum."""
-    cur = cut(ends.withColumnRenamed("on", "a").join(step, "a").select("a", "b", F.least("a", "b").alias("low")))
-    n = 1
-    # ends lie on rings, but not all pages of a ring are ends: take in their successors first
-    while True:
-        more = cur.select(F.col("b").alias("a")).distinct().join(cur.select("a"), "a", "left_anti")
-        if more.isEmpty():
-            break
-        new = cut(cur.unionByName(more.join(step, "a").select("a", "b", F.least("a", "b").alias("low"))))
-        drop(cur)
-        cur = new
-    size = cur.count()
-    while n < 2 * size:
+def _smallest_of_rings(step: DataFrame) -> DataFrame:
+    """(on, smallest) of rings given by each page's next (a, b), by doubling with a running minimum until no minimum changes."""
+    cur = cut(step.select("a", "b", F.least("a", "b").alias("low"), F.lit(True).alias("fell")))
+    for _ in range(ROUNDS):
         nxt = cur.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("low").alias("low2"))
-        new = cut(cur.join(nxt, "b").select("a", F.col("b2").alias("b"), F.least("low", "low2").alias("low")))
+        new = cut(cur.join(nxt, "b").select("a", F.col("b2").alias("b"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
         drop(cur)
-        cur, n = new, n * 2
+        cur = new
+        if cur.where("fell").isEmpty():
+            break
     return cur.select(F.col("a").alias("on"), F.col("low").alias("smallest"))
 
 
 def depths(categorylink: DataFrame, root: int) -> DataFrame:
     """(page_id, depth): fewest links from the root category; unreachable pages are absent, rings do no harm.
 
-    Taken from the closure of the hierarchy, whose rounds grow with the logarithm of the depth, not with the depth.
+    Level by level from the root, so that no more is done than the root's own pages ask for; each level is joined with the links
+    and freed of what has been reached, and as many jobs are run as the root has levels.
     """
-    c = hierarchy(categorylink, "cl_parent", "cl_child").closure.where((F.col("a") == root) & (F.col("b") != root))
-    own = categorylink.sparkSession.createDataFrame([(root, 0)], "page_id bigint, depth int")
-    return c.select(F.col("b").alias("page_id"), "depth").unionByName(own)
+    spark = categorylink.sparkSession
+    c = cut(categorylink.where("cl_parent is not null and cl_child is not null").select("cl_parent", "cl_child").distinct())
+    front = spark.createDataFrame([(root, 0)], "page_id bigint, depth int")
+    seen, depth = front, 0
+    parts = 1
+    while True:
+        depth += 1
+        new = c.join(front.select(F.col("page_id").alias("cl_parent")), "cl_parent", "left_semi").select(F.col("cl_child").alias("page_id")).distinct()
+        front = cut(new.join(seen.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen
+        seen, parts = seen.unionByName(front), parts + 1
+        if parts == 16:  # a plan of few tables, however deep the root
+            seen, parts = cut(seen), 1
 
 
 def generality(depth: DataFrame) -> DataFrame:

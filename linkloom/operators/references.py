@@ -56,11 +56,10 @@ def orphan_references(refs: list[Ref], parents: DataFrame, key: str, born: str,
             F.min("seen").alias("first"), F.max("seen").alias("last"), F.count_if(F.col("seen").isNull()).alias("untimed"), F.count("*").alias("n")
         )
     )
-    total = keys.agg(F.sum("n")).first()[0] or 0
     lives = parents.select(F.col(key).cast("bigint").alias("id"), F.col(born).alias("born"), F.col(died).alias("died")).where("id is not null and born is not null").distinct()
     spans = (F.col("to_id") == F.col("id")) & (F.col("untimed") == 0) & (F.col("born") <= F.col("first")) & (F.col("died").isNull() | (F.col("died") > F.col("last")))
     suspects = cut(keys.join(lives, spans, "left_anti").select("to_id", "n"))
-    heavy = heavy_keys(suspects, "to_id", "n", total)
+    heavy = heavy_keys(suspects, "to_id", "n")
     left = with_part(rows, "to_id", heavy, [F.col("from_id"), F.col("seen")])
     left = left.join(for_each_part(suspects.select("to_id"), "to_id", heavy), ["to_id", "_part"], "left_semi")
     some = lives.withColumnRenamed("id", "to_id").join(suspects, "to_id", "left_semi")

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of the rows on, so there are at most 1 / SHARE heavy keys: a fixed bound for a broadcast.
-SHARE = 1e-3
-#: Heavy keys are split into parts of about this many rows.
+#: A key with more rows than this is heavy and split into parts of about this many.
 ROWS_A_PART = 200_000
+#: Heavy keys that are broadcast (a key and a number each); more of them are joined by the plan's own choice, whose parts adaptive execution splits.
+MOST_BROADCAST = 200_000
 
 
-def heavy_keys(counts: DataFrame, key: str, count: str, total: int, share: float = SHARE, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-    """(key, parts) of the keys with at least `share` of `total` rows and more than one part; at most 1 / share rows.
+def heavy_keys(counts: DataFrame, key: str, count: str, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """(key, parts) of the keys of more rows than one part has, as a side of checked size.
 
-    `counts` has one row per key. The counts must come from an aggregation over all rows.
+    `counts` has one row per key, from an aggregation over all rows.
     """
-    return (
-        counts.where(F.col(key).isNotNull() & (F.col(count) >= share * total) & (F.col(count) > rows_a_part))
-        .select(F.col(key), F.ceil(F.col(count) / rows_a_part).cast("int").alias("_parts"))
-    )
+    h = counts.where(F.col(key).isNotNull() & (F.col(count) > rows_a_part)).select(F.col(key), F.ceil(F.col(count) / rows_a_part).cast("int").alias("_parts"))
+    return F.broadcast(h) if h.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else h
 
 
 def with_part(df: DataFrame, key: str, heavy: DataFrame, spread: list[Column]) -> DataFrame:
     """`df` and `_part`: 0 for light keys, else a part chosen by the hash of `spread`."""
-    h = F.broadcast(heavy.withColumnRenamed(key, "_heavy"))
+    h = heavy.withColumnRenamed(key, "_heavy")
     return (
         df.join(h, df[key] == h["_heavy"], "left")
         .withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")))
@@ -34,7 +32,7 @@ def with_part(df: DataFrame, key: str, heavy: DataFrame, spread: list[Column]) -
 
 def for_each_part(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
     """`df` once for each part of its key, with `_part`."""
-    h = F.broadcast(heavy.withColumnRenamed(key, "_heavy"))
+    h = heavy.withColumnRenamed(key, "_heavy")
     return (
         df.join(h, df[key] == h["_heavy"], "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))

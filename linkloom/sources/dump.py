@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import strip_templates
 from ..functions.titles import clean_title, normalize_casing
 from ..operators.graph import ARTICLE, CATEGORY, DISAMBIGUATION, REDIRECT, resolve_redirects
+from ..session import cut
 
 # What makes a page a disambiguation.
 DISAMBIGUATION_MARKS = ("{{disambig}}", "{{disambig-cleanup}}", "{{geodis}}", "{{hndis}}", "{{numberdis}}", "[[category:disambiguation]]")
@@ -130,7 +131,7 @@ def disambiguations(pages: DataFrame, index: DataFrame, rd: DataFrame) -> DataFr
 def ingest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All relations of a dump: page, redirect, pagelink, categorylink, translation, disambiguation, equivalence, anchor, content."""
     ns = read_namespaces(spark, path)
-    p = read_pages(spark, path, ns).persist()
+    p = cut(read_pages(spark, path, ns))
     index = title_index(p)
     rd = redirects(p, index)
     l = links(p, ns)

@@ -40,6 +40,8 @@ def test_link_summaries(page, links):
 def test_redirects_end_and_rings(df):
     r = df([(10, 11), (11, 3), (20, 21), (21, 20), (30, 20), (31, 30), (40, 40), (None, 1), (1, None)], "rd_from bigint, rd_to bigint")
     assert rows_of(G.resolve_redirects(r), "rd_from", "rd_to") == [(10, 3), (11, 3), (20, 20), (21, 21), (30, 20), (31, 20), (40, 40)]
+    long = df([(i, i + 1) for i in range(100, 140)] + [(140, 131)] + [(i, i + 1) for i in range(200, 205)], "rd_from bigint, rd_to bigint")  # a long way into a ring
+    assert rows_of(G.resolve_redirects(long), "rd_from", "rd_to") == [(i, 131 if i < 131 else i) for i in range(100, 141)] + [(i, 205) for i in range(200, 205)]
     chain = df([(i, i + 1) for i in range(70)], "rd_from bigint, rd_to bigint")
     assert rows_of(G.resolve_redirects(chain), "rd_from", "rd_to", "hops") == [(i, 70, 70 - i) for i in range(70)]
     assert G.resolve_redirects(df([], "rd_from bigint, rd_to bigint")).count() == 0
@@ -47,6 +49,7 @@ def test_redirects_end_and_rings(df):
 
 def test_depths_and_generality(df):
     c = df([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 2)], "cl_parent bigint, cl_child bigint")
+    assert rows_of(G.depths(df([(i, i + 1) for i in range(40)] + [(40, 3)], "cl_parent bigint, cl_child bigint"), 0)) == [(i, i) for i in range(41)]
     d = G.depths(c, 1)
     assert rows_of(d) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]
     assert {r["page_id"]: r["generality"] for r in G.generality(d).collect()}[4] == pytest.approx(1 - 2 / 3, abs=1e-6)
@@ -116,13 +119,16 @@ def test_spotting_and_overlaps(df):
 
 
 def test_sieve_changes_nothing(df, monkeypatch):
+    from linkloom.operators import sieve
+
     docs = df([(1, "a b c a b"), (2, "b c")], "k bigint, t string")
-    terms = df([("a b", 0.5), ("c", 0.9), ("x", 0.9)], "text string, link_probability double")
+    terms = df([("a b", 0.5), ("c", 0.9), ("x", 0.9)] + [(f"w{i} v", 0.9) for i in range(20_000)], "text string, link_probability double")
     anchors = terms.select("text", F.lit(1).alias("id"), F.lit(1).alias("n"))
-    got = [(rows_of(N.spot(docs, "k", "t", terms), "doc", "start", "term"), rows_of(A.document_occurrences(docs, "t", anchors)))]
-    monkeypatch.setattr(A, "MOST_SENT", 1)
-    got.append((rows_of(N.spot(docs, "k", "t", terms), "doc", "start", "term"), rows_of(A.document_occurrences(docs, "t", anchors))))
-    assert got[0] == got[1] == ([(1, 0, "a b"), (1, 4, "c"), (1, 6, "a b"), (2, 2, "c")], [("a b", 1), ("c", 2), ("x", 0)])
+    got = []
+    for bits in (27, 16, 15):  # from large enough to one that lets much through
+        monkeypatch.setattr(sieve, "MOST_BITS", bits)
+        got.append((rows_of(N.spot(docs, "k", "t", terms), "doc", "start", "term"), rows_of(A.document_occurrences(docs, "t", anchors).where("text not like 'w%'"))))
+    assert got[0] == got[1] == got[2] == ([(1, 0, "a b"), (1, 4, "c"), (1, 6, "a b"), (2, 2, "c")], [("a b", 1), ("c", 2), ("x", 0)])
 
 
 def test_context_weights(df):
@@ -168,6 +174,18 @@ def test_terms(df):
         T.register_processor("clean", T.case_fold)
 
 
+def test_markup_scanners_are_linear():
+    import time
+
+    for mark in ("{{x\n\n", "[[x\n\n", "<!-- x\n\n", "<ref>x\n\n", "{|x\n\n", "No. ", "<a>x "):
+        s, t = mark * 40_000, time.perf_counter()
+        for f in (M.strip_everything, M.strip_to_links, M.preprocess_wiki, M.preprocess_html, M.sentences, M.first_paragraph, M.define):
+            f(s)
+        assert time.perf_counter() - t < 20, mark
+    nested = "[[" * 50_000 + "x" + "]]" * 50_000
+    assert M.strip_links(nested) == "x" and M.strip_links("[[a|[[b|c]] d]] [[e") == "c d [[e"
+
+
 def test_markup_functions(df):
     assert M.strip_links(M.strip_templates("{{x|{{y}}}} A '''cat''' is a [[felid|small felid]].")) == " A '''cat''' is a small felid."
     assert M.strip_everything("{{x|{{y}}}} A '''cat''' is a [[felid|small felid]].\n\n\n\n== H ==\n* item<ref>r</ref>") == "A cat is a small felid.\n\nitem"
