@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.hierarchy import hierarchy
 from ..operators.hotkeys import frequent_keys, target_profiles
 from ..operators.references import Ref, orphan_counts, orphan_references
-from ..operators.unpack import unpack
+from ..operators.unpack import cover, unpack
 from .registry import Registry
 
 R = Registry()
@@ -69,7 +69,20 @@ def p2_targets(t):
   select distinct li_id, pos::int as pos, case when val like '"%"' then trim(replace(replace(val[2:-2], '""', '"'), '\"', '"')) else val end as val from y""")
 def p3_found(t):
     """Every value packed in pagelink_in.li_data with its position."""
-    return unpack(t("pagelink_in"), "li_id", "li_data", t("page"), "page_title")
+    return unpack(t("pagelink_in"), "li_id", "li_data", _known_values(t), "value")
+
+
+def _known_values(t):
+    """The ids and titles of all pages, the latter also with underscores for blanks."""
+    p = t("page")
+    title = p.select(F.col("page_title").alias("value"))
+    return p.select(F.col("page_id").cast("string").alias("value")).unionByName(title).unionByName(title.select(F.replace("value", F.lit(" "), F.lit("_")).alias("value")))
+
+
+@R.add("p3_cover")
+def p3_cover(t):
+    """How many values of each packed field are known whole values, and how many of those hold delimiters."""
+    return cover(t("pagelink_in"), "li_id", "li_data", _known_values(t), "value").select("li_id", F.size("vals").alias("n"), "known", "together").distinct()
 
 
 _LINKS = "e as (select distinct cl_parent as p, cl_child as c from categorylink where cl_parent is not null and cl_child is not null)"
