@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -47,16 +48,14 @@ def _hash(keys: pa.Array) -> np.ndarray:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             return x ^ (x >> np.uint64(31))
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys.cast(pa.string()).to_pylist()), np.uint64, len(keys))
+    return pd.util.hash_array(keys.cast(pa.string()).to_numpy(zero_copy_only=False), categorize=False)
 
 
 def _lists(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
-def dense_accumulate(df: DataFrame, key: str, measures: dict[str, tuple[str, str | None]], rows: int | None = None) -> DataFrame:
+def dense_accumulate(df: DataFrame, key: str, measures: dict[str, tuple[str, str | None]]) -> DataFrame:
     """(key, one column per measure) for every non-null key.
 
     `measures`: name -> (op, column); op is count (all rows, column None), sum, min or max of an integer column.
@@ -66,7 +65,8 @@ def dense_accumulate(df: DataFrame, key: str, measures: dict[str, tuple[str, str
     Each input split encodes its keys by a dictionary and adds its rows up in arrays over the codes (numpy
     bincount and scatter-reduce), so that a split sends a key once however often it occurs. The arrays travel in
     blocks of keys and are summed by a tree in which a task takes at most FAN_IN pieces of one block; a block's
-    dictionary is the union of its pieces'. Work thus depends on the rows of a split and on the number of
+    dictionary is the union of its pieces'. There are as many blocks as the distinct keys ask for (a sketch counts them), and as
+    many levels as the splits ask for. Work thus depends on the rows of a split and on the number of
     keys, not on how the rows are spread over the keys.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -74,9 +74,10 @@ def dense_accumulate(df: DataFrame, key: str, measures: dict[str, tuple[str, str
     names = list(measures)
     cols = [F.col(key).cast(kind).alias("k")] + [F.col(c).cast("bigint").alias(f"v{i}") for i, (_, c) in enumerate(measures.values()) if c]
     src = df.select(*cols).where("k is not null")
-    if rows is None:
-        rows = src.count()
-    blocks = max(1, math.ceil(rows / KEYS_A_BLOCK))
+    seen = src.select("k", F.spark_partition_id().alias("p")).agg(F.approx_count_distinct("k").alias("keys"), F.max("p").alias("last")).first()
+    blocks = max(1, math.ceil(seen["keys"] / KEYS_A_BLOCK))
+    # the plan may make other splits of a shuffled source next time, but no more than the shuffle has
+    splits = max((seen["last"] or 0) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ops = [op for op, _ in measures.values()]
     has = [c is not None for _, c in measures.values()]
     # a measure over values has a second array that counts them, for nulls
@@ -154,11 +155,9 @@ def dense_accumulate(df: DataFrame, key: str, measures: dict[str, tuple[str, str
         )
 
     out = src.mapInArrow(split, schema)
-    # as many levels as splits of ROWS_AT_ONCE rows could need, and one for many small splits
-    levels = 1 + math.ceil(math.log(max(1, rows / ROWS_AT_ONCE), FAN_IN)) if rows > ROWS_AT_ONCE else 1
-    for _ in range(levels):
+    while splits > 1:
         out = out.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("_g")).applyInArrow(add, schema)
-    out = out.groupBy("block").applyInArrow(add, schema)
+        splits = math.ceil(splits / FAN_IN)
     zipped = out.select(F.explode(F.arrays_zip("keys", *[f"a{j}" for j in range(len(arrays))])).alias("z"))
     picked, j = [F.col("z.keys").alias(key)], 0
     for i, name in enumerate(names):
@@ -177,7 +176,7 @@ def frequent_keys(df: DataFrame, key: str, share: float, least: int) -> DataFram
     Repeated rows count each time; rows without a key count neither way; ties at the bound are in.
     """
     total = df.where(F.col(key).isNotNull()).count()
-    n = dense_accumulate(df, key, {"n": ("count", None)}, rows=total)
+    n = dense_accumulate(df, key, {"n": ("count", None)})
     return n.where((F.col("n") >= share * total) & (F.col("n") >= least)).select(F.col(key).alias("key_id"), "n", F.lit(total).cast("bigint").alias("total"))
 
 
@@ -188,7 +187,7 @@ def target_profiles(links: DataFrame, source: str, target: str, redirects: DataF
     """
     all_links = dense_accumulate(links.select(F.col(target).alias("target")), "target", {"links": ("count", None)})
     pairs = links.select(F.col(target).alias("target"), F.col(source).alias("s")).where("target is not null and s is not null").distinct()
-    sources = dense_accumulate(pairs.select("target"), "target", {"sources": ("count", None)}, rows=links.count())
+    sources = dense_accumulate(pairs.select("target"), "target", {"sources": ("count", None)})
     reds = dense_accumulate(redirects.select(F.col(r_to).alias("target")), "target", {"redirects": ("count", None)})
     return (
         all_links.join(sources, "target", "left").join(reds, "target", "full")
