@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Tokens in at least this part of all (record, token) rows tell little; there are at most 1 / HOT of them.
 HOT = 1 / 2000
 
@@ -41,7 +43,7 @@ def segments(t: float, low: np.ndarray) -> np.ndarray:
     return np.maximum(2, np.ceil(0.55 * (h + 1))).astype(np.int64)
 
 
-def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float, low: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float, low: np.ndarray, hot: np.ndarray, again: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Signatures of a batch of sets: sig, id, size, sketch, find (as what it looks up), hold (as what it is looked up).
 
     A set is looked up in its own size group, split into that group's segments, by the whole of each segment
@@ -52,6 +54,9 @@ def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float,
     quality 'tokens that are not hot' and that less one are taken from the best on. d 0: find 1; d 1: the
     whole finds wholes and deletions (find 2), a deletion finds wholes (find 3). Sums of hashes stand for segments, so
     a deletion is a subtraction.
+
+    `again` (sig, roles as in x) makes the signatures of a second split of the universe, by another hash, for sets that met under
+    one signature too many share: they hold and find there what they did before, under that signature only.
     """
     sizes = np.diff(ends)
     count = segments(t, low)
@@ -63,6 +68,11 @@ def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float,
     sketch = np.zeros(len(ids), np.uint64)
     np.bitwise_xor.at(sketch, owner, bit)
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("sig", "id", "size", "sketch", "find", "hold")}
+    if again is None:
+        outer, finds, holds = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool), np.ones(len(ids), bool)
+    else:
+        outer, finds, holds = _mix(again[0].view(np.uint64)), (again[1] >> 2) & 3 > 0, again[1] & 3 > 0
+        h = _mix(h ^ np.uint64(0xA0761D6478BD642F))
 
     def put(sig: np.ndarray, who: np.ndarray, find: np.ndarray, hold: int) -> None:
         out["sig"].append(sig)
@@ -77,24 +87,27 @@ def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float,
         here = g >= 0
         if lower:
             here &= low[np.maximum(group, 1)] - 1 >= np.ceil(t * sizes - 1e-9)
+        if again is not None:  # what holds did so in its own group
+            here &= ~holds if lower else holds
         tok = here[owner]
         own, ht = owner[tok], h[tok]
         m = np.where(here, count[np.maximum(g, 0)], 0)
         base = np.concatenate(([0], np.cumsum(m)))
-        seg = ((ht >> np.uint64(13)) % m[own].astype(np.uint64)).astype(np.int64)
-        where = base[own] + seg
         total = int(base[-1])
         if not total:
             continue
+        seg = ((ht >> np.uint64(13)) % m[own].astype(np.uint64)).astype(np.int64)
+        where = base[own] + seg
         whole = np.zeros(total, np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(whole, where, ht)
         n = np.bincount(where, minlength=total)
         n_cold = np.bincount(where[cold[tok]], minlength=total)
         set_of = np.repeat(np.arange(len(ids)), m)
-        salt = _mix((np.arange(total) - base[set_of]).astype(np.uint64) + (g[set_of].astype(np.uint64) << np.uint64(32)))
+        with np.errstate(over="ignore"):
+            salt = _mix((np.arange(total) - base[set_of]).astype(np.uint64) + (g[set_of].astype(np.uint64) << np.uint64(32))) + outer[set_of]
         partner = np.minimum(sizes, low[np.maximum(g, 0) + 1] - 1)
-        need = most_apart(t, sizes, partner) + 1
+        need = np.where(finds, most_apart(t, sizes, partner) + 1, 0)
         quality = n_cold + 0.05 * np.minimum(n, 10)
         units = np.concatenate((quality, quality - 1))
         of = np.concatenate((set_of, set_of))
@@ -122,36 +135,50 @@ def signatures(ids: np.ndarray, ends: np.ndarray, tokens: np.ndarray, t: float,
 def token_sets(df: DataFrame, record: str, token: str, least: int = 1) -> DataFrame:
     """(id, toks): the distinct non-null tokens of each record, ascending; records with fewer than `least` are left out.
 
-    Repeated rows are dropped before anything is gathered, so a set is as large as its record's distinct tokens.
+    Repeated rows are dropped where they are read and again where they meet, so a set is as large as its record's distinct tokens.
     """
     tok = F.col(token) if df.schema[token].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(token))
-    t = df.select(F.col(record).cast("bigint").alias("id"), tok.cast("bigint").alias("tok")).where("id is not null and tok is not null").distinct()
-    return t.groupBy("id").agg(F.sort_array(F.collect_list("tok")).alias("toks")).where(F.size("toks") >= least)
+    t = df.select(F.col(record).cast("bigint").alias("id"), tok.cast("bigint").alias("tok")).where("id is not null and tok is not null")
+    return t.groupBy("id").agg(F.sort_array(F.collect_set("tok")).alias("toks")).where(F.size("toks") >= least)
+
+
+#: Pairs of one signature from which on its sets are told apart by a second split of the universe.
+CROWDED = 2_000
+#: Pairs of one signature in a part, where the second split does not tell them apart.
+PAIRS_A_PART = 1_000_000
 
 
 class SimilarSets:
-    """Records whose sets of tokens overlap (Jaccard) by at least `threshold`, within one table.
+    """Records whose sets of tokens overlap (Jaccard) by at least `threshold`, within one table or between it and `other` (a table, its record and token columns).
 
     Null records and tokens are left out, repeated rows count once, records of fewer than `least` distinct
     tokens take no part; tokens that are no integers are compared by a 64-bit hash. Empty tables give no rows,
     other columns are not read. Records with one and the same set form a class; only its representative (the
     smallest id) goes through the join, so copies cost nothing there.
 
-    `reps` (id, toks), `members` (id, rep), `links` (a, b): pairs of representatives, a < b.
+    Some signatures tell nothing: a segment without tokens, or with frequent ones only, is shared by a part of all sets. Sets that
+    meet under a signature of over CROWDED pairs are split by another hash, and the same pigeonhole rule is applied within the signature,
+    so nothing is lost and the pairs stay in proportion to the sets; what is crowded even then is joined in parts.
+
+    `reps` (id, toks), `members` (id, rep), `links` (a, b): pairs of representatives, a < b. Between two tables ids are doubled, those of
+    `other` plus one (they must have 62 bits at most).
     """
 
-    def __init__(self, df: DataFrame, record: str, token: str, threshold: float, least: int = 1) -> None:
+    def __init__(self, df: DataFrame, record: str, token: str, threshold: float, least: int = 1, other: tuple[DataFrame, str, str] | None = None) -> None:
         t = threshold
-        sets = token_sets(df, record, token, least)
-        keyed = sets.withColumn("same", F.md5(F.array_join("toks", ",")))
+        rows = df.select(F.col(record).cast("bigint").alias("r"), F.col(token).alias("k"))
+        self.two = other is not None
+        if other:
+            rows = rows.withColumn("r", F.col("r") * 2).unionByName(other[0].select((F.col(other[1]).cast("bigint") * 2 + 1).alias("r"), F.col(other[2]).alias("k")))
+        keyed = cut(token_sets(rows, "r", "k", least).withColumn("same", F.md5(F.array_join("toks", ","))))
         first = keyed.groupBy("same").agg(F.min("id").alias("rep"))
         self.members = keyed.select("id", "same").join(first, "same").select("id", "rep")
         self.reps = keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "toks")
-        size = sets.agg(F.max(F.size("toks"))).first()[0] or 1
-        by_token = df.where(F.col(record).isNotNull() & F.col(token).isNotNull()).groupBy(F.col(token)).agg(F.count("*").alias("n"))
-        total = df.count()
-        is_int = df.schema[token].dataType.simpleString() != "string"
-        hot = by_token.where(F.col("n") >= max(2, HOT * total)).select((F.col(token) if is_int else F.xxhash64(token)).cast("bigint").alias("k")).collect()
+        size = keyed.agg(F.max(F.size("toks"))).first()[0] or 1
+        known = rows.where("r is not null and k is not null")
+        n_rows = known.count()
+        is_int = rows.schema["k"].dataType.simpleString() != "string"
+        hot = known.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, HOT * n_rows)).select((F.col("k") if is_int else F.xxhash64("k")).cast("bigint").alias("k")).collect()
         hot_ids = np.array(sorted(r["k"] for r in hot), np.int64)
         low = bounds(t, least, size)
 
@@ -163,14 +190,32 @@ class SimilarSets:
                     part = b.slice(i, step)
                     toks = part.column("toks")
                     ends = np.concatenate(([0], np.cumsum(toks.value_lengths().to_numpy())))
-                    s = signatures(part.column("id").to_numpy(), ends, toks.flatten().to_numpy(), t, low, hot_ids)
+                    again = (part.column("sig").to_numpy(), part.column("x").to_numpy()) if "x" in b.schema.names else None
+                    s = signatures(part.column("id").to_numpy(), ends, toks.flatten().to_numpy(), t, low, hot_ids, again)
                     # 40 bits of sketch, 20 of size, 2 + 2 of roles
                     packed = (s["sketch"].astype(np.int64) << 24) | (np.minimum(s["size"], (1 << 20) - 1) << 4) | (s["find"] << 2) | s["hold"]
                     yield pa.RecordBatch.from_arrays([pa.array(s["sig"].view(np.int64)), pa.array(s["id"]), pa.array(packed)], names=["sig", "id", "x"])
 
-        sig = self.reps.mapInArrow(sign, "sig bigint, id bigint, x bigint").repartition("sig")
-        f = sig.where(F.expr("(x >> 2) & 3") > 0).select("sig", F.col("id").alias("p"), F.col("x").alias("px"))
-        h = sig.where(F.expr("x & 3") > 0).select("sig", F.col("id").alias("q"), F.col("x").alias("qx"))
+        finds, holds = F.expr("(x >> 2) & 3") > 0, F.expr("x & 3") > 0
+
+        def met(df: DataFrame) -> DataFrame:
+            """The signatures that are found and held, with how many pairs they make: one shuffle, which both sides of the join then share."""
+            w = Window.partitionBy("sig")
+            both = F.sum(finds.cast("bigint")).over(w) * F.sum(holds.cast("bigint")).over(w)
+            return df.mapInArrow(sign, "sig bigint, id bigint, x bigint").where(finds | holds).withColumn("pairs", both)
+
+        def join(df: DataFrame, on: list[str]) -> DataFrame:
+            f = df.where(finds).select(*on, F.col("id").alias("p"), F.col("x").alias("px"))
+            h = df.where(holds).select(*on, F.col("id").alias("q"), F.col("x").alias("qx"))
+            return f.join(h, on)
+
+        once = met(self.reps)
+        crowd = once.where(F.col("pairs") > CROWDED).select("sig", "id", "x").join(self.reps, "id")
+        twice = met(crowd)
+        parts = F.ceil(F.col("pairs") / PAIRS_A_PART)
+        f = twice.where(finds & (F.col("pairs") > 0)).select("sig", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("p"), F.col("x").alias("px"))
+        h = twice.where(holds & (F.col("pairs") > 0)).select("sig", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("id").alias("q"), F.col("x").alias("qx"))
+        pairs = join(once.where((F.col("pairs") > 0) & (F.col("pairs") <= CROWDED)), ["sig"]).unionByName(f.join(h, ["sig", "part"]).drop("part"))
         sa, sb = F.expr("(px >> 4) & 1048575"), F.expr("(qx >> 4) & 1048575")
         apart = F.floor(F.lit((1 - t) / (1 + t)) * (sa + sb) + 1e-9)
         # sizes beyond 20 bits are cut to the same number: such pairs pass to the exact check
@@ -181,7 +226,8 @@ class SimilarSets:
             & (huge | (sb >= F.lit(t) * sa - 1e-9))
             & (huge | (F.bit_count(F.expr("((px >> 24) ^ (qx >> 24)) & 1099511627775")) <= apart))
         )
-        cand = f.join(h, "sig").where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        self.met_pairs = pairs
+        cand = pairs.where(near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         ra = self.reps.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
         rb = self.reps.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb"))
@@ -189,13 +235,17 @@ class SimilarSets:
         self.links = exact.select("a", "b")
 
     def pairs(self) -> DataFrame:
-        """(a, b), a < b: every similar pair of records, copies expanded."""
+        """(a, b): every similar pair of records, copies expanded; a < b within one table, a of the first and b of the other between two."""
         m = self.members
         ma = m.select(F.col("rep").alias("a"), F.col("id").alias("x"))
         mb = m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
         across = self.links.join(ma, "a").join(mb, "b")
         within = ma.join(mb, ma["a"] == mb["b"]).where("x < y")
         both = across.select("x", "y").unionByName(within.select("x", "y"))
+        if self.two:
+            left, right = F.pmod("x", F.lit(2)), F.pmod("y", F.lit(2))
+            both = both.where(left != right).select(F.when(left == 0, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(left == 0, F.col("y")).otherwise(F.col("x")).alias("y"))
+            return both.select(F.expr("x >> 1").alias("a"), F.expr("y >> 1").alias("b"))
         return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def classes(self) -> DataFrame:

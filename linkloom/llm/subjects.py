@@ -172,8 +172,7 @@ def assign_subjects(docs: DataFrame, key: str, text: str, page: str, source: str
     # address: the page's other texts
     pages = votes.where("page is not null").groupBy("page", "i").agg(F.sum(share).alias("of_page"), F.count("*").alias("rows"))
     whole = pages.groupBy("page").agg(F.sum("of_page").alias("page_all"), F.sum("rows").alias("rows"))
-    total = votes.count()
-    heavy = heavy_keys(whole, "page", "rows", total)
+    heavy = heavy_keys(whole, "page", "rows")
     v = with_part(votes, "page", heavy, [F.col("doc_id")])
     side = pages.select("page", "i", "of_page").join(whole.select("page", "page_all"), "page")
     v = v.join(for_each_part(side, "page", heavy), ["page", "_part", "i"], "left")
