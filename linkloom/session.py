@@ -9,6 +9,7 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
 
 
@@ -54,12 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back.
 
     It ends the lineage (a lost executor costs a re-read, never a recomputation), gives the optimizer true
-    sizes and is compressed, which a checkpoint's serialized rows are not. Loops call `drop` on what they
-    no longer need; the rest goes with the session.
+    sizes and is compressed, which a checkpoint's serialized rows are not. Shuffle files of the write go when it is done. Loops call `drop`
+    on what they no longer need; the rest goes with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     if spark not in _made:
         _made[spark] = []
     _made[spark].append(path)
