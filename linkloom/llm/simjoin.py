@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop
 
 #: Tokens in at least this part of all (record, token) rows tell little; there are at most 1 / HOT of them.
 HOT = 1 / 2000
@@ -142,10 +142,10 @@ def token_sets(df: DataFrame, record: str, token: str, least: int = 1) -> DataFr
     return t.groupBy("id").agg(F.sort_array(F.collect_set("tok")).alias("toks")).where(F.size("toks") >= least)
 
 
-#: Pairs of one signature from which on its sets are told apart by a second split of the universe.
-CROWDED = 2_000
-#: Pairs of one signature in a part, where the second split does not tell them apart.
-PAIRS_A_PART = 1_000_000
+#: Pairs of one signature for each token of its sets from which on they are told apart by a second split of the universe, which makes about a row a token.
+CROWDED = 8
+#: Sets that look one signature up in a chunk, where the second split does not tell them apart.
+FINDERS_A_CHUNK = 500
 
 
 class SimilarSets:
@@ -157,8 +157,8 @@ class SimilarSets:
     smallest id) goes through the join, so copies cost nothing there.
 
     Some signatures tell nothing: a segment without tokens, or with frequent ones only, is shared by a part of all sets. Sets that
-    meet under a signature of over CROWDED pairs are split by another hash, and the same pigeonhole rule is applied within the signature,
-    so nothing is lost and the pairs stay in proportion to the sets; what is crowded even then is joined in parts.
+    meet under a signature of over CROWDED pairs a token are split by another hash, and the same pigeonhole rule is applied within the signature,
+    so nothing is lost and the pairs stay in proportion to the sets; what is crowded even then meets in chunks.
 
     `reps` (id, toks), `members` (id, rep), `links` (a, b): pairs of representatives, a < b. Between two tables ids are doubled, those of
     `other` plus one (they must have 62 bits at most).
@@ -170,11 +170,12 @@ class SimilarSets:
         self.two = other is not None
         if other:
             rows = rows.withColumn("r", F.col("r") * 2).unionByName(other[0].select((F.col(other[1]).cast("bigint") * 2 + 1).alias("r"), F.col(other[2]).alias("k")))
-        keyed = cut(token_sets(rows, "r", "k", least).withColumn("same", F.md5(F.array_join("toks", ","))))
+        keyed = cut(token_sets(rows, "r", "k", least).withColumn("same", F.unhex(F.md5(F.array_join("toks", ",")))))
         first = keyed.groupBy("same").agg(F.min("id").alias("rep"))
-        self.members = keyed.select("id", "same").join(first, "same").select("id", "rep")
-        self.reps = keyed.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "toks")
-        size = keyed.agg(F.max(F.size("toks"))).first()[0] or 1
+        self.members = cut(keyed.select("id", "same").join(first, "same").select("id", "rep"))
+        self.reps = cut(keyed.join(self.members.where("id = rep").select("id"), "id", "left_semi").select("id", "toks"))
+        drop(keyed)
+        size = self.reps.agg(F.max(F.size("toks"))).first()[0] or 1
         known = rows.where("r is not null and k is not null")
         n_rows = known.count()
         is_int = rows.schema["k"].dataType.simpleString() != "string"
@@ -198,24 +199,32 @@ class SimilarSets:
 
         finds, holds = F.expr("(x >> 2) & 3") > 0, F.expr("x & 3") > 0
 
-        def met(df: DataFrame) -> DataFrame:
-            """The signatures that are found and held, with how many pairs they make: one shuffle, which both sides of the join then share."""
+        def signed(df: DataFrame) -> DataFrame:
+            """The signatures with how many sets find (n_f) and hold (n_h) each, and whether that makes too many pairs: one shuffle."""
             w = Window.partitionBy("sig")
-            both = F.sum(finds.cast("bigint")).over(w) * F.sum(holds.cast("bigint")).over(w)
-            return df.mapInArrow(sign, "sig bigint, id bigint, x bigint").where(finds | holds).withColumn("pairs", both)
-
-        def join(df: DataFrame, on: list[str]) -> DataFrame:
-            f = df.where(finds).select(*on, F.col("id").alias("p"), F.col("x").alias("px"))
-            h = df.where(holds).select(*on, F.col("id").alias("q"), F.col("x").alias("qx"))
-            return f.join(h, on)
-
-        once = met(self.reps)
-        crowd = once.where(F.col("pairs") > CROWDED).select("sig", "id", "x").join(self.reps, "id")
-        twice = met(crowd)
-        parts = F.ceil(F.col("pairs") / PAIRS_A_PART)
-        f = twice.where(finds & (F.col("pairs") > 0)).select("sig", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("p"), F.col("x").alias("px"))
-        h = twice.where(holds & (F.col("pairs") > 0)).select("sig", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), F.col("id").alias("q"), F.col("x").alias("qx"))
-        pairs = join(once.where((F.col("pairs") > 0) & (F.col("pairs") <= CROWDED)), ["sig"]).unionByName(f.join(h, ["sig", "part"]).drop("part"))
+            n_f, n_h, tokens = (F.sum(c.cast("bigint")).over(w) for c in (finds, holds, F.expr("(x >> 4) & 1048575")))
+            out = df.mapInArrow(sign, "sig bigint, id bigint, x bigint").where(finds | holds).withColumns({"n_f": n_f, "n_h": n_h, "tokens": tokens})
+            return out.where("n_f > 0 and n_h > 0").withColumn("crowded", F.col("n_f") * F.col("n_h") > CROWDED * F.col("tokens"))
+
+        def meet(df: DataFrame, few: Column, *on: str) -> DataFrame:
+            """(p, px, q, qx): who finds whom. A list of one side, the finders where `few` says so, is set beside each row of the other, where the shuffle has put them, so there is no join."""
+            w, me = Window.partitionBy(*on), F.struct("id", "x")
+            listed = F.collect_list(F.when(F.when(few, finds).otherwise(holds), me)).over(w)
+            out = df.withColumn("o", listed).where(F.when(few, holds).otherwise(finds)).select("id", "x", few.alias("few"), F.explode("o").alias("o"))
+            side = lambda c, here, there: F.when(F.col("few"), F.col(there)).otherwise(F.col(here)).alias(c)
+            return out.select(side("p", "id", "o.id"), side("px", "x", "o.x"), side("q", "o.id", "id"), side("qx", "o.x", "x"))
+
+        once = signed(self.reps)
+        few = F.col("n_f") <= F.col("n_h")
+        twice = signed(once.where("crowded").select("sig", "id", "x").join(self.reps, "id"))
+        # what is crowded even then: the finders in chunks, the others once for each
+        chunks = F.ceil(F.col("n_f") / FINDERS_A_CHUNK)
+        mine = F.when(finds & ~holds, F.array(F.pmod(F.xxhash64("id"), chunks))).otherwise(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
+        thrice = twice.where("crowded").select("sig", "id", "x", chunks.alias("chunks"), F.explode(mine).alias("chunk"))
+        own = F.pmod(F.xxhash64("id"), F.col("chunks")) == F.col("chunk")
+        thrice = thrice.withColumn("x", F.when(own, F.col("x")).otherwise(F.expr("x & -13"))).repartition("sig", "chunk")
+        pairs = meet(once.where("not crowded"), few, "sig").unionByName(meet(twice.where("not crowded"), few, "sig"))
+        pairs = pairs.unionByName(meet(thrice, F.lit(True), "sig", "chunk"))
         sa, sb = F.expr("(px >> 4) & 1048575"), F.expr("(qx >> 4) & 1048575")
         apart = F.floor(F.lit((1 - t) / (1 + t)) * (sa + sb) + 1e-9)
         # sizes beyond 20 bits are cut to the same number: such pairs pass to the exact check

@@ -162,21 +162,40 @@ def test_open_container_ends_with_its_paragraph():
 # --- frequency
 
 
-def test_suffix_counts_brute_force():
-    rnd = random.Random(4)
-    docs = [[rnd.randrange(4) for _ in range(rnd.randrange(12))] for _ in range(60)]
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_counts_brute_force(seed):
+    """n-grams of any length, of one record and of several, repeated within a record and not."""
+    rnd = random.Random(seed)
+    docs = [[rnd.randrange(1 + seed) for _ in range(rnd.randrange(12))] for _ in range(60)]
+    docs += [docs[3] + docs[4]] * 3 + [[7] * 30, list(range(20)) * 2]
     flat = np.array([t for d in docs for t in d])
     rec = np.array([i for i, d in enumerate(docs) for _ in d])
+    weight = np.array([i % 3 for i, d in enumerate(docs) for _ in d])
     occ, recs = Counter(), Counter()
-    for d in docs:
-        g = [tuple(d[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(d) - n + 1)]
-        occ.update(g)
+    for i, d in enumerate(docs):
+        g = [tuple(d[i : i + n]) for n in range(1, len(d) + 1) for i in range(len(d) - n + 1)]
+        for x in g:
+            occ[x] += i % 3
         recs.update(set(g))
-    got = {}
-    for n, first, o, r in Q.suffix_counts(flat, rec, np.ones(len(flat), np.int64), 4):
-        for f, a, b in zip(first, o, r, strict=True):
-            got[tuple(flat[f : f + n].tolist())] = (a, b)
-    assert got == {k: (occ[k], recs[k]) for k in occ}
+    for most in (None, 1, 4):
+        got = {}
+        for n, first, o, r in Q.suffix_counts(flat, rec, weight, most):
+            for f, a, b in zip(first, o, r, strict=True):
+                got[tuple(flat[f : f + n].tolist())] = (a, b)
+        assert got == {k: (occ[k], recs[k]) for k in recs if most is None or len(k) <= most}
+
+
+def test_suffix_array_is_in_order():
+    rnd = np.random.default_rng(1)
+    sizes = rnd.integers(0, 40, 200)
+    tokens = rnd.integers(0, 3, sizes.sum())
+    end = np.repeat(np.cumsum(sizes), sizes)
+    order, common = Q.suffix_array(tokens, end)
+    suffix = [tuple(tokens[i : end[i]]) for i in order]
+    assert suffix == sorted(suffix) and sorted(order) == list(range(len(tokens)))
+    for k in range(1, len(suffix)):
+        a, b = suffix[k - 1], suffix[k]
+        assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def test_term_counts(df, monkeypatch):
@@ -268,7 +287,7 @@ def test_similar_sets_edges(df):
 def test_similar_sets_second_split(df, monkeypatch, crowded):
     """The second split loses nothing: with every shared signature, or with many, split again."""
     monkeypatch.setattr(S, "CROWDED", crowded)
-    monkeypatch.setattr(S, "PAIRS_A_PART", 5)
+    monkeypatch.setattr(S, "FINDERS_A_CHUNK", 3)
     for t, seed in ((0.7, 1), (0.5, 3)):
         test_similar_sets(df, t, seed)
 
