@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut, drop
 
 #: Tokens in one suffix array; a longer record has one of its own.
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 500_000
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -34,45 +34,106 @@ def folded(col: Column) -> Column:
     return F.when(s != "", s)
 
 
-def suffix_counts(tokens: np.ndarray, record: np.ndarray, weight: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..most: (n, first position, occurrences, records) of each n-gram that lies within a record.
+def suffix_array(tokens: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, and how many tokens each has in common with the one before it; a suffix ends with its record, at `end`.
+
+    Prefix doubling: suffixes sorted by their first h tokens are sorted by 2 h by the ranks of their halves, until no two that can still
+    be told apart are equal; equal ones keep the order of their places. The ranks of every h are kept, so the common prefix of
+    two neighbours is put together from the longest blocks down, for all at once.
+    """
+    n = len(tokens)
+    place = np.arange(n)
+    left = end - place
+    ranks = [pd.factorize(tokens, sort=True)[0].astype(np.int32)]
+    order, h = np.argsort(ranks[0], kind="stable"), 1
+    while True:
+        rank = ranks[-1]
+        sorted_ = rank[order]
+        tied = np.zeros(n, bool)
+        same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
+        tied[same], tied[same + 1] = True, True
+        if not (tied & (left[order] > h)).any():
+            break
+        half = np.zeros(n, np.int64)  # 0: the record ends within the first h tokens
+        goes_on = left > h
+        half[goes_on] = rank[place[goes_on] + h].astype(np.int64) + 1
+        key = rank.astype(np.int64) * (int(rank.max()) + 2) + half
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.empty(n, np.int32)
+        new[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        ranks.append(new)
+        h *= 2
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    for j in range(len(ranks) - 1, -1, -1):
+        h, have = 1 << j, common[1:]
+        fits = (left[a] >= have + h) & (left[b] >= have + h)
+        x, y = np.where(fits, a + have, 0), np.where(fits, b + have, 0)
+        common[1:] += h * (fits & (ranks[j][x] == ranks[j][y]))
+    return order, common
+
+
+class _Least:
+    """The least of any stretch of an array, by a table of the minima of all stretches of 2^j."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.rows = [x.astype(np.int32)]
+        while 2 << (len(self.rows) - 1) <= len(x):
+            r, h = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(r[:-h], r[h:]))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least of a..b, both included."""
+        j = np.frexp(b - a + 1)[1] - 1
+        out = np.zeros(len(a), np.int32)
+        for k in np.unique(j):
+            at = j == k
+            out[at] = np.minimum(self.rows[k][a[at]], self.rows[k][b[at] - (1 << k) + 1])
+        return out
+
+
+def suffix_counts(tokens: np.ndarray, record: np.ndarray, weight: np.ndarray, most: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1, 2, ... (up to `most`, or all): (n, first position, occurrences, records) of each n-gram that lies within a record.
 
     `tokens` are the records' token numbers one after another, `record` the record of each, not descending.
-    The suffixes are sorted by their first n tokens (prefix doubling brings n - 1 to n by the rank of
-    the shorter gram and the next token), ties by position. Suffixes that share n tokens form an interval of common
-    prefix >= n: its length (or weight) is the n-gram's occurrences; its records are that length less the adjacencies
-    of two suffixes of one record, which position order has put side by side.
+    One suffix array with its common prefixes serves every n. Suffixes that share n tokens stand side by side, an interval of common
+    prefix >= n: its length (or weight) is the n-gram's occurrences. Each suffix and the last one of the same record before it are a
+    duplicate in every interval that holds both, that is for every n up to the least common prefix between them; an interval's records are its
+    length less its duplicates.
     """
-    n_all = len(tokens)
-    rank = tokens.astype(np.int64)
-    for n in range(1, most + 1):
-        fits = np.arange(n_all - n + 1)
-        fits = fits[record[fits] == record[fits + n - 1]] if n > 1 else fits
-        if not len(fits):
+    if not len(tokens):
+        return
+    sizes = np.bincount(record)
+    end = np.cumsum(sizes)[record]
+    order, common = suffix_array(tokens, end)
+    left = (end - np.arange(len(tokens)))[order]
+    by = np.argsort(record[order], kind="stable")
+    twin = np.flatnonzero(record[order][by[1:]] == record[order][by[:-1]])
+    first, second = by[twin], by[twin + 1]
+    shared = _Least(common).of(first + 1, second) if len(twin) else np.zeros(0, np.int32)
+    for n in range(1, int(sizes.max() if most is None else min(most, sizes.max())) + 1):
+        fits = left >= n
+        at = np.flatnonzero(fits)
+        if not len(at):
             return
-        if n > 1:
-            key = rank[fits] * (int(tokens.max()) + 1) + tokens[fits + n - 1]
-        else:
-            key = rank
-        order = np.argsort(key, kind="stable")
-        sorted_key, at = key[order], fits[order]
-        new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+        new = common[at] < n  # a suffix too short for n never stands between two that share n tokens
         starts = np.flatnonzero(new)
-        same_record = np.concatenate(([0], ((~new[1:]) & (record[at[1:]] == record[at[:-1]])).astype(np.int64)))
-        size = np.diff(np.append(starts, len(at)))
-        yield n, at[starts], np.add.reduceat(weight[at], starts), size - np.add.reduceat(same_record, starts)
-        fresh = np.zeros(n_all, np.int64)
-        fresh[at] = np.cumsum(new) - 1
-        rank = fresh
+        interval = np.cumsum(new) - 1
+        place = np.zeros(len(order), np.int64)
+        place[at] = interval
+        again = second[shared >= n]
+        twice = np.bincount(place[again], minlength=len(starts))
+        yield n, order[at[starts]], np.add.reduceat(weight[order[at]], starts), np.diff(np.append(starts, len(at))) - twice
 
 
-def term_counts(df: DataFrame, field: str, tokenize: Callable[[str], list[str]], most: int = 1, weight: str | None = None) -> DataFrame:
-    """(n, term, occurrences, records) of every n-gram of up to `most` tokens in `field`, over all rows.
+def term_counts(df: DataFrame, field: str, tokenize: Callable[[str], list[str]], most: int | None = 1, weight: str | None = None) -> DataFrame:
+    """(n, term, occurrences, records) of every n-gram of up to `most` tokens (None: of any number) in `field`, over all rows.
 
     A row is a record; rows that should count once must be distinct before. Null and empty fields have no terms.
     Tokens of a term are joined by a space. With `weight` a term occurs so often per row (null: 0). An empty
-    table has no terms. Every input split builds suffix arrays over its own records (of TOKENS_AT_ONCE tokens,
-    long records whole), and as no record lies in two of them, occurrences and records of the parts add up; the sums start before the shuffle,
+    table has no terms. Every input split builds suffix arrays with their common prefixes over its own records (of TOKENS_AT_ONCE tokens,
+    long records whole) and reads every n from them; as no record lies in two of them, occurrences and records of the parts add up; the sums start before the shuffle,
     so frequent terms send one row a part.
     """
     src = df.select(F.col(field).cast("string").alias("f"), (F.coalesce(F.col(weight).cast("bigint"), F.lit(0)) if weight else F.lit(1)).cast("bigint").alias("w"))
