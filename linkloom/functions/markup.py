@@ -303,6 +303,13 @@ def define(s: str, form: str = "html", whole: bool = False, base: str = "") -> s
 
 # --- same-length blanking, so that positions stay -------------------------------------------------------------------
 
+def article_counts(s: str) -> tuple[int, int, int]:
+    """(lines, list entries, words) of a text without templates, tables, links and tags; lines of over five characters count."""
+    s = re.sub(r"</?[A-Za-z][^<>]*>", "", strip_links(strip_tables(strip_templates(s))))
+    lines = [x for x in (re.sub("[:;]", " ", x).strip() for x in s.split("\n")) if len(x) > 5]
+    return len(lines), sum(x[0] in "*#" for x in lines), len(re.findall(r"\w+", _formatting(s)))
+
+
 #: Headings that say nothing about a document.
 PLAIN_HEADINGS = ("see also", "references", "further reading", "external links")
 
@@ -312,7 +319,7 @@ def _blank(s: str) -> str:
 
 
 def preprocess_wiki(s: str) -> dict:
-    """text (of the same length, markup blanked), context (link texts and headings), banned (destinations of links), splits (starts of sections)."""
+    """text (of the same length, markup blanked), context (link texts and headings), banned (destinations of links), splits (starts of sections), marks of regions (sections, tables)."""
     context: list[str] = []
     banned: list[str] = []
     splits = [m.start() for m in re.finditer(r"(?m)^=+[^=\n]+=+[ \t]*$", s)]
@@ -320,6 +327,8 @@ def preprocess_wiki(s: str) -> dict:
         if (h := m[1].strip()).lower() not in PLAIN_HEADINGS:
             context.append(h)
 
+    marks = [(m.start(), "open" if m[0] == "{|" else "close") for m in re.finditer(r"\{\||\|\}", s)] + [(i, "split") for i in splits]
+
     def link(x: str) -> str:
         if not _prefix(x):
             banned.append(x.partition("|")[0].strip())
@@ -332,17 +341,23 @@ def preprocess_wiki(s: str) -> dict:
     s = between(re.sub(r"(?is)<ref\b[^<>]*/>", lambda m: _blank(m[0]), s), _REF, _REF_END, _blank)
     for rule in (r"</?[A-Za-z][^<>]*>", r"\[(?:https?|ftp)://[^\]]*\]", r"'{2,}", r"(?m)^=+[^=\n]+=+[ \t]*$", r"(?m)^[*#:;]+", r"&#?\w+;"):
         s = re.sub(rule, lambda m: _blank(m[0]), s)
-    return {"text": s, "context": context, "banned": banned, "splits": splits}
+    return {"text": s, "context": context, "banned": banned, "splits": splits, "marks": _marks(marks)}
+
+
+def _marks(found: list[tuple[int, str]]) -> list[dict]:
+    """Region marks in order, one a place."""
+    return [{"start": a, "kind": k} for a, k in sorted(dict(reversed(found)).items())]
 
 
 def preprocess_html(s: str) -> dict:
-    """text (of the same length, markup and links blanked), context (title, keywords, description, link texts), banned (none), splits (starts of regions)."""
+    """text (of the same length, markup and links blanked), context (title, keywords, description, link texts), banned (none), splits (starts of regions), marks of regions (div and table, split by headings)."""
     context: list[str] = []
     between(s, re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title"), lambda x: context.append(x[x.index(">") + 1 : -7].strip().lower()) or "")
     for m in re.finditer(r"(?is)<meta\b[^<>]*\bname\s*=\s*[\"'](?:keywords|description)[\"'][^<>]*\bcontent\s*=\s*[\"']([^\"']*)", s):
         context.append(m[1].strip().lower())
     between(s, _LINK_TAG, _LINK_END, lambda x: context.append(re.sub(r"<[^<>]*>", "", x).strip()) or "")
     splits = [m.start() for m in re.finditer(r"(?i)<(?:div|table|h1|h2)\b", s)]
+    marks = [(m.start(), "close" if m[1] else "split" if m[2][0] in "hH" else "open") for m in re.finditer(r"(?i)<(?:(/)(?=div|table)|(?=div|table|h1|h2))(div|table|h1|h2)\b", s)]
     s = between(s, re.compile(r"(?i)<head\b"), re.compile(r"(?i)</head\s*>"), _blank)
     s = between(s, _COMMENT, _COMMENT_END, _blank)
     for t in ("script", "style"):
@@ -350,10 +365,17 @@ def preprocess_html(s: str) -> dict:
     s = between(s, _LINK_TAG, _LINK_END, _blank)
     for rule in (r"</?[A-Za-z][^<>]*>", r"&#?\w+;"):
         s = re.sub(rule, lambda m: _blank(m[0]), s)
-    return {"text": s, "context": [c for c in context if c], "banned": [], "splits": splits}
+    return {"text": s, "context": [c for c in context if c], "banned": [], "splits": splits, "marks": _marks(marks)}
+
+
+def preprocess(s: str, mode: str) -> dict:
+    """A text by its source mode: 'wiki', 'html' or anything else, which is plain."""
+    if mode in ("wiki", "html"):
+        return (preprocess_wiki if mode == "wiki" else preprocess_html)(s)
+    return {"text": s, "context": [], "banned": [], "splits": [], "marks": []}
 
 
-PREPROCESSED = "struct<text: string, context: array<string>, banned: array<string>, splits: array<int>>"
+PREPROCESSED = "struct<text: string, context: array<string>, banned: array<string>, splits: array<int>, marks: array<struct<start: int, kind: string>>>"
 
 
 def udf(f: Callable, kind: str = "string", *args: object) -> Callable[[Column], Column]:
@@ -363,7 +385,7 @@ def udf(f: Callable, kind: str = "string", *args: object) -> Callable[[Column],
         return s.map(lambda x: None if x is None else f(x, *args))
 
     def run_rows(s: pd.Series) -> pd.DataFrame:
-        none = {"text": None, "context": None, "banned": None, "splits": None}
+        none = {"text": None, "context": None, "banned": None, "splits": None, "marks": None}
         return pd.DataFrame([none if x is None else f(x) for x in s], columns=list(none))
 
     if kind.startswith("struct"):

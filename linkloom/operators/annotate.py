@@ -5,16 +5,17 @@ The steps hand on DataFrames, so any of them can be replaced: a scorer is a func
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import is_date_title
 from .graph import ARTICLE, DISAMBIGUATION
-from .relatedness import related
+from .relatedness import related, six
 from .sieve import Sieve, make_sieve
 
 #: Most words of a spotted term.
@@ -91,7 +92,19 @@ def context(cand: DataFrame, links: DataFrame, articles: int, least: float = 0.0
     """
     n = F.count("*").over(Window.partitionBy("doc", "term"))
     c = cand.withColumn("n", n).where((F.col("n") == 1) | ((F.col("rank") == 1) & (F.col("commonness") > 1 - least)))
-    c = c.where(~F.coalesce(is_date_title(F.col("title")), F.lit(False))).groupBy("doc", "id").agg(F.max("link_probability").alias("lp"))
+    return _best_context(c.withColumn("lp", F.col("link_probability")), links, articles, size)
+
+
+def context_of_all(cand: DataFrame, links: DataFrame, articles: int, least: float = 0.02, size: int = 25) -> DataFrame:
+    """(doc, id, weight): the context of each document from all senses of its terms with a commonness of `least`, for texts whose terms are all ambiguous.
+
+    As `context`, with link probability times commonness in the place of the link probability.
+    """
+    return _best_context(cand.where(F.col("commonness") >= least).withColumn("lp", F.col("link_probability") * F.col("commonness")), links, articles, size)
+
+
+def _best_context(c: DataFrame, links: DataFrame, articles: int, size: int) -> DataFrame:
+    c = c.where(~F.coalesce(is_date_title(F.col("title")), F.lit(False))).groupBy("doc", "id").agg(F.max("lp").alias("lp"))
     x = c.select("doc", "id").join(c.select("doc", F.col("id").alias("id2")), "doc")
     x = x.withColumn("a", F.least("id", "id2")).withColumn("b", F.greatest("id", "id2"))
     rel = related(x.select("a", "b"), links, articles)
@@ -132,26 +145,66 @@ def logistic(weights: dict[str, float], bias: float, to: str) -> Scorer:
 
 
 def forest(rows: DataFrame, features: list[str], label: str, to: str, trees: int = 10, share: float = 0.1, seed: int = 1) -> Scorer:
-    """A scorer learnt from rows: bagged trees on small samples, classes weighted to balance. Missing features count as -1."""
+    """A scorer learnt from rows: bagged trees on small samples, classes weighted to balance. Missing features count as -1.
+
+    Rows of one class teach that class for everything; without rows the score is null. `score.model` is the trained model, None in these two cases.
+    """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    fill = {f: -1.0 for f in features}
-    va = VectorAssembler(inputCols=features, outputCol="_features")
-    train = va.transform(class_weights(rows, label).withColumn("_label", F.col(label).cast("double")).fillna(fill, features))
+    n = rows.agg(F.count(label).alias("n"), F.sum(F.col(label).cast("int")).alias("k")).first()
+    if not n["n"] or n["k"] in (0, n["n"]):
+        always = None if not n["n"] else float(n["k"] > 0)
+
+        def constant(df: DataFrame) -> DataFrame:
+            return df.withColumn(to, F.lit(always).cast("double"))
+
+        constant.model = None
+        return constant
+    train = _assembled(class_weights(rows, label).withColumn("_label", F.col(label).cast("double")), features)
     model = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="class_weight", numTrees=trees, subsamplingRate=share, featureSubsetStrategy="all", minInstancesPerNode=2, maxDepth=10, seed=seed
     ).fit(train)
+    return model_scorer(model, features, to)
+
+
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    filled = df.withColumns({f"_{f}": F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in features})
+    return VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_features").transform(filled).drop(*[f"_{f}" for f in features])
+
+
+def model_scorer(model, features: list[str], to: str) -> Scorer:
+    """The scorer of a trained model, such as one that was saved by `save_model`."""
+    from pyspark.ml.functions import vector_to_array
 
     def score(df: DataFrame) -> DataFrame:
-        x = model.transform(va.transform(df.fillna(fill, features)))
+        x = model.transform(_assembled(df, features))
         return x.withColumn(to, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
     score.model = model
     return score
 
 
+def save_model(score: Scorer, path: str) -> None:
+    """Writes a trained scorer's model, an earlier one of that path gives way."""
+    if score.model is None:
+        raise ValueError("nothing has been learnt")
+    score.model.write().overwrite().save(path)
+
+
+def load_model(path: str, features: list[str], to: str) -> Scorer:
+    """The scorer of a saved model."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    return model_scorer(RandomForestClassificationModel.load(path), features, to)
+
+
+def save_rows(rows: DataFrame, path: str) -> None:
+    """Training rows to a table; `spark.read.parquet` gives them back."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """`rows` with class_weight: half over the share of the row's class, so that both classes weigh the same."""
     p = rows.agg(F.avg(F.col(label).cast("double"))).first()[0]
@@ -181,22 +234,34 @@ def topics(refs: DataFrame, chosen: DataFrame, lengths: DataFrame) -> DataFrame:
     x = refs.join(chosen.drop("link_probability"), ["doc", "term"]).join(lengths, "doc")
     at = F.col("start") / F.greatest("length", F.lit(1))
     g = x.groupBy("doc", "id", "title").agg(
-        F.count("*").alias("occurrences"), F.round(F.avg("link_probability"), 6).alias("mean_link_probability"), F.max("link_probability").alias("most_link_probability"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.max("confidence").alias("most_confidence"), F.round(F.min(at), 6).alias("first"), F.round(F.max(at), 6).alias("last"),
+        F.count("*").alias("occurrences"), six(F.avg("link_probability")).alias("mean_link_probability"), F.max("link_probability").alias("most_link_probability"),
+        six(F.avg("confidence")).alias("mean_confidence"), F.max("confidence").alias("most_confidence"), F.round(F.min(at), 6).alias("first"), F.round(F.max(at), 6).alias("last"),
     )
     return g.withColumn("spread", F.round(F.col("last") - F.col("first"), 6))
 
 
+def banned_topics(spark: SparkSession, listed: str) -> DataFrame:
+    """(id, title) from a list of ids and titles parted by semicolons; one of the two is null."""
+    items = [x.strip() for x in (listed or "").split(";") if x.strip()]
+    return spark.createDataFrame([(int(x), None) if x.isdigit() else (None, x) for x in items], "id bigint, title string")
+
+
 def without_banned(t: DataFrame, banned: DataFrame) -> DataFrame:
-    """Topics that are not in `banned` (id), or (doc, id) if it has documents."""
-    return t.join(banned, ["doc", "id"] if "doc" in banned.columns else ["id"], "left_anti")
+    """Topics that are not in `banned`, which has ids, titles (compared without case) or both, and perhaps documents. Nulls in it ban nothing."""
+    doc = ["doc"] if "doc" in banned.columns else []
+    if "id" in banned.columns:
+        t = t.join(banned.select(*doc, "id").where("id is not null").distinct(), [*doc, "id"], "left_anti")
+    if "title" in banned.columns:
+        names = banned.where("title is not null").select(*doc, F.lower("title").alias("_title")).distinct()
+        t = t.withColumn("_title", F.lower("title")).join(names, [*doc, "_title"], "left_anti").drop("_title")
+    return t
 
 
 def relatedness_to_others(t: DataFrame, links: DataFrame, articles: int) -> DataFrame:
     """`t` with `others`: the mean relatedness to the document's other topics, null for a lone topic."""
     x = t.select("doc", "id").join(t.select("doc", F.col("id").alias("o")), "doc").where("id <> o")
     x = x.withColumn("a", F.least("id", "o")).withColumn("b", F.greatest("id", "o"))
-    m = x.join(related(x.select("a", "b"), links, articles), ["a", "b"]).groupBy("doc", "id").agg(F.round(F.avg("rel"), 6).alias("others"))
+    m = x.join(related(x.select("a", "b"), links, articles), ["a", "b"]).groupBy("doc", "id").agg(six(F.avg("rel")).alias("others"))
     return t.join(m, ["doc", "id"], "left")
 
 
@@ -211,6 +276,23 @@ def index_weights(t: DataFrame) -> DataFrame:
 LINK_FEATURES = ["occurrences", "most_confidence", "mean_confidence", "others", "most_link_probability", "mean_link_probability", "generality", "first", "last", "spread"]
 
 
+def with_generality(t: DataFrame, generality: DataFrame) -> DataFrame:
+    """`t` with the generality of its topics, from (page_id, generality); null for topics no root category reaches."""
+    return t.join(generality.select(F.col("page_id").alias("id"), "generality"), "id", "left")
+
+
+def link_detector(rows: DataFrame, **how: object) -> Scorer:
+    """A scorer that weighs topics by how likely a page would link to them, learnt from `link_training` rows with LINK_FEATURES."""
+    return forest(rows, LINK_FEATURES, "linked", "weight", **how)
+
+
+def own_links(about: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, id): what the pages that documents are about (doc, page_id) link to, and the pages themselves: what a link detector should find."""
+    a = about.where("page_id is not null").select("doc", "page_id").distinct()
+    out = a.join(links.where("pl_from is not null and pl_to is not null").select(F.col("pl_from").alias("page_id"), F.col("pl_to").alias("id")).distinct(), "page_id")
+    return out.select("doc", "id").unionByName(a.select("doc", F.col("page_id").alias("id"))).distinct()
+
+
 def best_topics(t: DataFrame, least: float) -> DataFrame:
     """Topics of at least a weight."""
     return t.where(F.col("weight") >= least)
@@ -261,19 +343,44 @@ def without_overlaps(refs: DataFrame) -> DataFrame:
     return g.select("doc", F.explode(fold["kept"]).alias("x")).select("doc", "x.start", "x.end", "x.id", *[f"x.{c}" for c in others])
 
 
+def region_bounds(marks: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """(at, region): the region that holds from each mark on; region 0 holds before the first.
+
+    Marks (at, 'open' | 'close' | 'split'), in any order, one a place. An opened region is put on a stack, a split begins a new one in its place, a
+    closed one gives way to that around it, with all that was seen there, or to a new one if there is none.
+    """
+    out, stack, new, here = [], [], 1, 0
+    for at, kind in sorted(dict(reversed(marks)).items()):
+        if kind == "close" and stack:
+            here = stack.pop()
+        else:
+            if kind == "open":
+                stack.append(here)
+            here, new = new, new + 1
+        out.append((at, here))
+    return out
+
+
 def by_repeat(refs: DataFrame, mode: str = "all", regions: DataFrame | None = None) -> DataFrame:
     """References kept by 'all', 'first' (of a topic in a document) or 'region' (of a topic in a region).
 
-    `regions` (doc, start): the places where a new region begins; text before the first is a region too.
+    `regions` (doc, start[, kind]): the marks of `region_bounds`, splits if no kind is given; text before the first is a region too.
     """
     if mode == "all":
         return refs
     if mode == "first":
         keys = ["doc", "id"]
     elif mode == "region":
-        marks = regions.select("doc", F.col("start").alias("at"))
-        marks = marks.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("marks"))
-        refs = refs.join(marks, "doc", "left").withColumn("region", F.size(F.filter(F.coalesce("marks", F.array().cast("array<int>")), lambda m: m <= F.col("start")))).drop("marks")
+
+        @F.pandas_udf("array<struct<at: int, region: int>>")
+        def bounds(marks: pd.Series) -> pd.Series:
+            return marks.map(lambda m: [{"at": a, "region": r} for a, r in region_bounds([(x["start"], x["kind"]) for x in m])])
+
+        kind = F.col("kind") if "kind" in regions.columns else F.lit("split")
+        m = regions.select("doc", F.struct(F.col("start").cast("int").alias("start"), kind.alias("kind")).alias("m")).groupBy("doc").agg(F.collect_list("m").alias("m"))
+        refs = refs.join(m.select("doc", bounds("m").alias("bounds")), "doc", "left")
+        passed = F.filter("bounds", lambda x: x["at"] < F.col("start"))
+        refs = refs.withColumn("region", F.coalesce(F.try_element_at(passed, F.lit(-1))["region"], F.lit(0))).drop("bounds")
         keys = ["doc", "id", "region"]
     else:
         raise ValueError(f"no such mode: {mode}")
@@ -281,19 +388,39 @@ def by_repeat(refs: DataFrame, mode: str = "all", regions: DataFrame | None = No
     return refs.withColumn("r", r).where("r = 1").drop("r", "region")
 
 
-def wiki_tag(text: str, title: str) -> str:
+#: What renders a reference: its text, the topic's title and weight, and the number of the reference in its document.
+Render = Callable[[str, str, float, int], str]
+
+
+def wiki_tag(text: str, title: str, weight: float = 0.0, n: int = 0) -> str:
     """[[title|text]], or [[text]] if they differ in case at most."""
     return f"[[{text}]]" if text.lower() == (title or "").lower() else f"[[{title}|{text}]]"
 
 
-def html_tag(text: str, title: str) -> str:
+def html_tag(text: str, title: str, weight: float = 0.0, n: int = 0) -> str:
     """A link that names the topic."""
-    return f'<a href="{(title or "").replace(" ", "_")}">{text}</a>'
+    return f'<a href="{html.escape((title or "").replace(" ", "_"))}">{text}</a>'
+
+
+def tooltip_tag(text: str, title: str, weight: float = 0.0, n: int = 0) -> str:
+    """A numbered link that shows the topic's title and weight when it is pointed at."""
+    return f'<a id="topic{n}" href="{html.escape((title or "").replace(" ", "_"))}" title="{html.escape(title or "")} ({weight:.2f})">{text}</a>'
+
+
+def colour(base: tuple[int, int, int], full: tuple[int, int, int], weight: float) -> str:
+    """The colour between two by a weight of 0 to 1."""
+    return f"rgb({','.join(str(round(b + (f - b) * min(1.0, max(0.0, weight)))) for b, f in zip(base, full, strict=True))})"
+
+
+def coloured(render: Render, full: tuple[int, int, int], base: tuple[int, int, int] | None = None) -> Render:
+    """`render` in the colour `full`, or, with a `base`, nearer to it the less the topic weighs."""
+    return lambda text, title, weight=0.0, n=0: f'<span style="color:{colour(base or full, full, weight)}">{render(text, title, weight, n)}</span>'
 
 
-def tag(docs: DataFrame, key: str, text: str, refs: DataFrame, render: Callable[[str, str], str] = wiki_tag) -> DataFrame:
-    """(doc, tagged): each text with its references (doc, start, end, title; no overlaps) put in; texts without any as they are."""
-    marks = refs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "title"))).alias("marks"))
+def tag(docs: DataFrame, key: str, text: str, refs: DataFrame, render: Render = wiki_tag) -> DataFrame:
+    """(doc, tagged): each text with its references (doc, start, end, title[, weight]; no overlaps) put in; texts without any as they are."""
+    weight = F.col("weight") if "weight" in refs.columns else F.lit(0.0)
+    marks = refs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end", "title", weight.alias("weight")))).alias("marks"))
     kind = docs.schema[key].dataType.simpleString()
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,8 +428,8 @@ def tag(docs: DataFrame, key: str, text: str, refs: DataFrame, render: Callable[
             out = []
             for s, m in zip(b["t"], b["marks"], strict=True):
                 parts, i = [], 0
-                for x in m if m is not None else ():
-                    parts += [s[i : x["start"]], render(s[x["start"] : x["end"]], x["title"])]
+                for n, x in enumerate(m if m is not None else (), 1):
+                    parts += [s[i : x["start"]], render(s[x["start"] : x["end"]], x["title"], x["weight"], n)]
                     i = x["end"]
                 out.append("".join(parts) + s[i:] if s is not None else None)
             yield pd.DataFrame({"doc": b["doc"], "tagged": out})

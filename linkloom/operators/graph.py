@@ -6,6 +6,7 @@ links (pl_from, pl_to), redirect (rd_from, rd_to), categorylink (cl_parent, cl_c
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +184,37 @@ def equivalents(page: DataFrame, title: Column) -> DataFrame:
     return c.join(a, "k").select("category_id", "article_id")
 
 
+def pages_by_title(page: DataFrame, asked: DataFrame) -> DataFrame:
+    """(title, page_type, page_id): the page of a title and type, both exact; of several the smallest id. `asked` (title, page_type)."""
+    p = page.where("page_title is not null").groupBy(F.col("page_title").alias("title"), "page_type").agg(F.min("page_id").alias("page_id"))
+    return asked.select("title", "page_type").distinct().join(p, ["title", "page_type"]).select("title", "page_type", "page_id")
+
+
+def root_category(page: DataFrame, categorylink: DataFrame, title: str | None = None) -> int | None:
+    """The id of the category of that title or, without one, the smallest category that is a parent and nobody's child; None without any."""
+    if title is not None:
+        named = page.where((F.col("page_type") == CATEGORY) & (F.col("page_title") == title)).agg(F.min("page_id")).first()[0]
+        if named is not None:
+            return named
+    c = categorylink.where("cl_parent is not null and cl_child is not null")
+    return c.select(F.col("cl_parent").alias("x")).distinct().join(c.select(F.col("cl_child").alias("x")), "x", "left_anti").agg(F.min("x")).first()[0]
+
+
+def ranked_links(page: DataFrame, links: DataFrame, *types: int) -> DataFrame:
+    """(page_id, sense_id, sense_title, rank): where the pages of the types lead, by how often they link there, then by id: the senses of a disambiguation page, the most obvious first."""
+    x = links_of(links).join(page.where(F.col("page_type").isin(*types)).select(F.col("page_id").alias("f")), "f", "left_semi").groupBy("f", "t").agg(F.count("*").alias("n"))
+    x = x.join(page.select(F.col("page_id").alias("t"), "page_title"), "t")
+    r = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "t"))
+    return x.select(F.col("f").alias("page_id"), F.col("t").alias("sense_id"), F.col("page_title").alias("sense_title"), r.alias("rank"))
+
+
+def translations(translation: DataFrame) -> DataFrame:
+    """(page_id, languages, titles): the languages of each page, ascending, and its title in each as a map, from (tl_id, tl_lang, tl_text)."""
+    one = translation.where("tl_id is not null and tl_lang is not null").groupBy("tl_id", "tl_lang").agg(F.min("tl_text").alias("tl_text"))
+    g = one.groupBy(F.col("tl_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("tl_lang", "tl_text"))).alias("s"))
+    return g.select("page_id", F.transform("s", lambda x: x["tl_lang"]).alias("languages"), F.map_from_entries("s").alias("titles"))
+
+
 def linked_pages(page: DataFrame, links: DataFrame, incoming: bool) -> DataFrame:
     """(page_id, other_id, other_title): distinct linked articles and disambiguations on the other end."""
     e = links_of(links).distinct()
@@ -212,7 +244,54 @@ def page_batch(page: DataFrame, after: int, size: int, page_type: int | None = N
 def article_sample(page: DataFrame, links: DataFrame, least_in: int, least_out: int, size: int, seed: int) -> DataFrame:
     """(page_id): a seeded random set of articles with enough links either way; the same for every partitioning."""
     n = link_counts(page.where(F.col("page_type") == ARTICLE), links).where((F.col("lc_in") >= least_in) & (F.col("lc_out") >= least_out))
-    return n.orderBy(F.xxhash64(F.lit(seed), F.col("page_id")), "page_id").limit(size).select("page_id").orderBy("page_id")
+    return n.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "page_id")), "page_id").limit(size).select("page_id").orderBy("page_id")
+
+
+def valid_articles(page: DataFrame, links: DataFrame, content: DataFrame, words: tuple[int, int] | None = None, link_share: tuple[float, float] | None = None, list_share: float | None = None) -> DataFrame:
+    """(page_id): articles fit for training: no disambiguations or lists by title and, where bounds are given, words, links out by word and list entries by line within them.
+
+    `content` (id, text); with bounds a page without content is not valid. A text without lines or words has shares of 0.
+    """
+    from ..functions.markup import article_counts
+
+    p = page.where((F.col("page_type") == ARTICLE) & ~F.coalesce(F.lower("page_title").startswith("list"), F.lit(False))).select("page_id")
+    if words is None and link_share is None and list_share is None:
+        return p
+
+    @F.pandas_udf("struct<lines: int, entries: int, words: int>")
+    def counts(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([article_counts(x) for x in s], columns=["lines", "entries", "words"])
+
+    one = content.where("text is not null").groupBy("id").agg(F.min("text").alias("text"))
+    n = one.select(F.col("id").alias("page_id"), counts("text").alias("n")).select("page_id", "n.*")
+    out = links_of(links).distinct().groupBy(F.col("f").alias("page_id")).agg(F.count("*").alias("out"))
+    x = p.join(n, "page_id").join(out, "page_id", "left")
+    if words is not None:
+        x = x.where(F.col("words").between(*words))
+    if link_share is not None:
+        x = x.where((F.coalesce("out", F.lit(0)) / F.greatest("words", F.lit(1))).between(*link_share))
+    if list_share is not None:
+        x = x.where(F.col("entries") / F.greatest("lines", F.lit(1)) <= list_share)
+    return x.select("page_id")
+
+
+def page_offset(page: DataFrame, offset: int, size: int) -> DataFrame:
+    """`size` pages after the first `offset`, in the order of ids: a scan by offset; `page_batch` needs no count of what is skipped."""
+    return page.orderBy("page_id").offset(offset).limit(size)
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """`df` with `number`, from 0 in the order of `key`; repeated keys in any order. Each part counts itself, the parts' sizes (one row a part) are added up."""
+    x = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    x = cut(x.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    n = x.groupBy("_p").agg(F.count("*").alias("n"))
+    before = n.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
+    return x.join(F.broadcast(before), "_p").withColumn("number", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+
+
+def round_robin(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """`df` with `part`, from 0: rows dealt out in turn in the order of `key`."""
+    return numbered(df, key).withColumn("part", (F.col("number") % parts).cast("int")).drop("number")
 
 
 def common_neighbours(pairs: DataFrame, edges: DataFrame) -> DataFrame:

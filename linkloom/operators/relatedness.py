@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import common_neighbours, in_edges, links_of, out_edges
 
 
+def six(c: Column) -> Column:
+    """Six digits, rounded as a binary number: a mean of two numbers of six digits often lies just between two."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def _unique(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct()
 
@@ -53,8 +58,7 @@ def related(pairs: DataFrame, links: DataFrame, articles: int, mode: str = "in")
     if mode != "both":
         raise ValueError(f"no such mode: {mode}")
     i, o = by_incoming(pairs, links, articles), by_outgoing(pairs, links, articles).withColumnRenamed("rel", "o")
-    mean = (F.col("rel") + F.col("o")) / 2  # often just between two numbers of six digits: rounded as a binary number
-    return i.join(o, ["a", "b"]).select("a", "b", (F.floor(mean * 1e6 + 0.5) / 1e6).alias("rel"))
+    return i.join(o, ["a", "b"]).select("a", "b", six((F.col("rel") + F.col("o")) / 2).alias("rel"))
 
 
 #: Senses that count between terms, how near to the best pair another must be, and what a combined phrase adds.
@@ -105,6 +109,11 @@ def in_context(candidates: DataFrame, context: DataFrame, links: DataFrame, arti
     return c.join(p, ["doc", "id"], "left").select("doc", "text", "id", F.round(F.coalesce("r", F.lit(0.0)) + F.col("commonness"), 6).alias("weight"))
 
 
+def in_context_of_terms(candidates: DataFrame, terms: DataFrame, likeliest: DataFrame, links: DataFrame, articles: int) -> DataFrame:
+    """As `in_context`, the context given by terms (doc, text), each standing for its likeliest article (text, id)."""
+    return in_context(candidates, terms.join(likeliest.select("text", "id"), "text").select("doc", "id").distinct(), links, articles)
+
+
 def out_in_links_of(links: DataFrame, ids: DataFrame) -> DataFrame:
     """The links that start or end at one of `ids` (id), to relate a few pages without reading all pairs."""
     l = links_of(links)

@@ -106,18 +106,16 @@ def redirects_of(t):
     return G.redirects_of(pages(t), t("redirect"))
 
 
-def _root(t):
-    c = t("categorylink").where("cl_parent is not null and cl_child is not null")
-    return c.select(F.col("cl_parent").alias("x")).distinct().join(c.select(F.col("cl_child").alias("x")), "x", "left_anti").agg(F.min("x")).first()[0]
+GENERALITY = f"""{CAT}, root as (select min(cl_parent) as r from c where cl_parent not in (select cl_child from c)),
+ g(page_id, depth) as (select r, 0 from root union select c.cl_child, g.depth + 1 from g join c on c.cl_parent = g.page_id where g.depth < 400),
+ m as (select page_id, min(depth) as depth from g group by 1),
+ gen as (select page_id, depth::int as depth, round(1 - depth / greatest(1, max(depth) over ()), 6) as generality from m)"""
 
 
-@R.add("generality", f"""with recursive {CAT}, root as (select min(cl_parent) as r from c where cl_parent not in (select cl_child from c)),
- g(page_id, depth) as (select r, 0 from root union select c.cl_child, g.depth + 1 from g join c on c.cl_parent = g.page_id where g.depth < 400),
- m as (select page_id, min(depth) as depth from g group by 1)
- select page_id, depth::int as depth, round(1 - depth / greatest(1, max(depth) over ()), 6) as generality from m""")
+@R.add("generality", f"with recursive {GENERALITY} select * from gen")
 def generality(t):
     """Depth and generality under the first root category."""
-    return G.generality(G.depths(t("categorylink"), _root(t)))
+    return G.generality(G.depths(t("categorylink"), G.root_category(pages(t), t("categorylink"))))
 
 
 @R.add("parents", f"with {CUR}, {CAT} select cl_child as page_id, cl_parent as parent_id, page_title as parent_title from c join p on page_id = cl_parent")
@@ -138,21 +136,26 @@ def child_categories(t):
     return G.children(pages(t), t("categorylink"), G.CATEGORY)
 
 
-@R.add("contains", f"with {CAT} select distinct l.pl_to as cl_parent, l.pl_from as cl_child from pagelink l join c on c.cl_parent = l.pl_to and c.cl_child = l.pl_from")
+@R.add("contains", f"with {CAT} select distinct x.cl_parent, y.cl_child from c x join c y on x.cl_child = y.cl_parent join c on c.cl_parent = x.cl_parent and c.cl_child = y.cl_child")
 def contains(t):
-    """Page links that are also category links, child to parent."""
-    pairs = t("pagelink").select(F.col("pl_to").alias("cl_parent"), F.col("pl_from").alias("cl_child")).distinct()
+    """Grandchildren of a category that are its children too."""
+    c = t("categorylink").where("cl_parent is not null and cl_child is not null").select("cl_parent", "cl_child").distinct()
+    pairs = c.withColumnRenamed("cl_child", "m").join(c.select(F.col("cl_parent").alias("m"), "cl_child"), "m").select("cl_parent", "cl_child").distinct()
     return G.contains(t("categorylink"), pairs)
 
 
 _KEY = "lower(trim(replace(page_title, '_', ' ')))"
 
 
-@R.add("equivalents", f"""with {CUR}, k as (select page_id, page_type, {_KEY} as k from p where page_title is not null), x as (select k, min(page_id) as category_id from k where page_type = 2 and k <> '' group by 1),
- y as (select k, min(page_id) as article_id from k where page_type = 1 and k <> '' group by 1) select category_id, article_id from x join y using (k)""")
+@R.add("equivalents", f"""with {CUR}, k as (select page_id, page_type, {_KEY} as t from p where page_title is not null),
+ w as (select page_id, page_type, case when page_type = 2 then rtrim(regexp_extract(t, '^[^ ]+'), 's') else regexp_extract(t, '[^ ]+$') end as k from k),
+ x as (select k, min(page_id) as category_id from w where page_type = 2 and k <> '' group by 1),
+ y as (select k, min(page_id) as article_id from w where page_type = 1 and k <> '' group by 1) select category_id, article_id from x join y using (k)""")
 def equivalents(t):
-    """Categories and articles of one title."""
-    return G.equivalents(pages(t), F.lower(F.trim(F.replace(F.col("page_title"), F.lit("_"), F.lit(" ")))))
+    """Categories and articles of one kind: the first word of the one, in the singular, is the last word of the other (full titles never agree in these tables)."""
+    title = F.lower(F.trim(F.replace(F.col("page_title"), F.lit("_"), F.lit(" "))))
+    kind = F.when(F.col("page_type") == G.CATEGORY, F.rtrim(F.regexp_extract(title, "^[^ ]+", 0), F.lit("s"))).otherwise(F.regexp_extract(title, "[^ ]+$", 0))
+    return G.equivalents(pages(t), kind)
 
 
 def _linked(me, other):
@@ -171,17 +174,52 @@ def links_out_pages(t):
     return G.linked_pages(pages(t), t("pagelink"), incoming=False)
 
 
-@R.add("disambiguation_senses", f"""with {CUR}, {LINK}, x as (select f, t, count(*) as n from l join p on page_id = f where page_type = 4 group by 1, 2)
- select f as page_id, x.t as sense_id, q.page_title as sense_title, row_number() over (partition by f order by n desc, x.t)::int as rank from x join p q on q.page_id = x.t""")
+_RANKED = """x as (select f, t, count(*) as n from l join p on page_id = f where page_type in ({}) group by 1, 2)
+ select f as page_id, x.t as sense_id, q.page_title as sense_title, row_number() over (partition by f order by n desc, x.t)::int as rank from x join p q on q.page_id = x.t"""
+
+
+@R.add("disambiguation_senses", f"with {CUR}, {LINK}, " + _RANKED.format("4, 1"))
 def disambiguation_senses(t):
-    """The senses of each disambiguation page by how often it links to them; rank 1 is the most obvious."""
-    p = pages(t)
-    x = G.links_of(t("pagelink")).join(p.where(F.col("page_type") == G.DISAMBIGUATION).select(F.col("page_id").alias("f")), "f", "left_semi").groupBy("f", "t").agg(F.count("*").alias("n"))
-    x = x.join(p.select(F.col("page_id").alias("t"), "page_title"), "t")
-    from pyspark.sql import Window
+    """The senses of each disambiguation page by how often it links to them, rank 1 the most obvious; articles are read likewise (here no disambiguation has links)."""
+    return G.ranked_links(pages(t), t("pagelink"), G.DISAMBIGUATION, G.ARTICLE)
+
+
+@R.add("pages_by_title", f"""with {CUR}, q as (select distinct anchor as title, k as page_type from anchor, unnest([1, 2, 3, 4]) as u(k) where anchor is not null)
+ select title, q.page_type, min(page_id) as page_id from q join p on p.page_title = title and p.page_type = q.page_type group by 1, 2""")
+def pages_by_title(t):
+    """The page of each type that a link text names exactly."""
+    asked = t("anchor").where("anchor is not null").select(F.col("anchor").alias("title"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("page_type"))
+    return G.pages_by_title(pages(t), asked)
+
+
+@R.add("page_offset", f"with {CUR} select * from p order by page_id limit 100 offset 500")
+def page_offset(t):
+    """The 100 pages after the first 500."""
+    return G.page_offset(pages(t), 500, 100)
+
+
+@R.add("round_robin", f"with {CUR} select page_id, ((row_number() over (order by page_id) - 1) % 7)::int as part from p where page_type = 1")
+def round_robin(t):
+    """Articles dealt out to seven parts in turn."""
+    return G.round_robin(pages(t).where(F.col("page_type") == G.ARTICLE).select("page_id"), "page_id", 7)
+
+
+@R.add("valid_articles", f"""with {CUR}, {LINK}, c as (select co_id as id, min(content) as text from pagecontent where content is not null group by 1),
+ o as (select f, count(distinct t) as n from l group by 1) select page_id from p join c on id = page_id left join o on f = page_id
+ where page_type = 1 and not coalesce(lower(page_title) like 'list%', false)""")
+def valid_articles(t):
+    """Articles with a content that are no lists, whatever their size."""
+    return G.valid_articles(pages(t), t("pagelink"), _content(t), words=(0, 1 << 30))
+
+
+@R.add("training_articles")
+def training_articles(t):
+    """Articles of 20 to 10,000 words, at most half of their lines list entries, at most two links a word."""
+    return G.valid_articles(pages(t), t("pagelink"), _content(t), (20, 10_000), (0.0, 2.0), 0.5)
 
-    r = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "t"))
-    return x.select(F.col("f").alias("page_id"), F.col("t").alias("sense_id"), F.col("page_title").alias("sense_title"), r.alias("rank"))
+
+def _content(t):
+    return t("pagecontent").select(F.col("co_id").alias("id"), F.col("content").alias("text"))
 
 
 @R.add("articles_by_title", f"""with recursive {CUR}, {RESOLVED}, q as (select distinct anchor as title, upper(anchor[1]) || anchor[2:] as k from anchor where anchor is not null),
@@ -192,7 +230,8 @@ def articles_by_title(t):
     return G.articles_by_title(pages(t), t("redirect"), t("anchor"), "anchor")
 
 
-@R.add("article_sample")
+@R.add("article_sample", f"""with {CUR}, {LINK} select page_id from p where page_type = 1 and page_id in (select t from l group by t having count(*) >= 5) and page_id in (select f from l group by f having count(*) >= 5)
+ order by md5('1:' || page_id) limit 100""")
 def article_sample(t):
     """A seeded sample of 100 well linked articles."""
     return G.article_sample(pages(t), t("pagelink"), 5, 5, 100, 1)
@@ -261,13 +300,16 @@ def anchor_texts(t):
     return A.texts_of(anchors(t))
 
 
-@R.add("link_probability", rf"""with {FOLDED}, n as (select text, sum(n)::bigint as link_count from a group by 1),
- k as (select text, link_count, array_to_string(regexp_split_to_array(trim(text), '\s+'), ' ') as key from n),
- d as (select doc_id, unnest(regexp_split_to_array(lower(text), '[\n\r\v\f\x1c-\x1e\x85  ]')) as line from documents where text is not null),
- v as (select doc_id, list_filter(regexp_split_to_array(line, '[\s\x1f\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '') as v from d),
- g as (select distinct doc_id, array_to_string(v[i:j], ' ') as key from v, unnest(generate_series(1, len(v))) as u(i), unnest(generate_series(i, least(len(v), i + 10))) as w(j)),
- o as (select key, count(*) as occ_count from g where key in (select key from k) group by 1)
- select text, link_count, coalesce(occ_count, 0) as occ_count, case when coalesce(occ_count, 0) > 0 then round(least(1.0, link_count / occ_count), 6) else 0 end as link_probability from k left join o using (key)""")
+LINKP = r"""lp_n as (select text, sum(n)::bigint as link_count from a group by 1),
+ lp_k as (select text, link_count, array_to_string(regexp_split_to_array(trim(text), '\s+'), ' ') as key from lp_n),
+ lp_d as (select doc_id, unnest(regexp_split_to_array(lower(text), '[\n\r\v\f\x1c-\x1e\x85  ]')) as line from documents where text is not null),
+ lp_v as (select doc_id, list_filter(regexp_split_to_array(line, '[\s\x1f\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') as v from lp_d),
+ lp_g as (select distinct doc_id, array_to_string(v[i:j], ' ') as key from lp_v, unnest(generate_series(1, len(v))) as u(i), unnest(generate_series(i, least(len(v), i + 10))) as w(j)),
+ lp_o as (select key, count(*) as occ_count from lp_g where key in (select key from lp_k) group by 1),
+ lp as (select text, link_count, coalesce(occ_count, 0) as occ_count, case when coalesce(occ_count, 0) > 0 then round(least(1.0, link_count / occ_count), 6) else 0 end as link_probability from lp_k left join lp_o using (key))"""
+
+
+@R.add("link_probability", f"with {FOLDED}, {LINKP} select * from lp")
 def link_probability(t):
     """How likely each link text is a link where it occurs in the documents."""
     a = anchors(t, terms.case_fold)
@@ -275,18 +317,26 @@ def link_probability(t):
 
 
 def _pairs(t):
-    """Pairs of pages that share a link text, case folded."""
-    a = anchors(t, terms.case_fold).select("text", "id")
-    return a.select("text", F.col("id").alias("a")).join(a.select("text", F.col("id").alias("b")), "text").where("a < b").select("a", "b").distinct()
+    """Pairs of the first sense of each link text, case folded, with its other senses: as many as there are senses."""
+    s = A.senses(anchors(t, terms.case_fold)).select("text", "id", "rank")
+    x = s.where("rank > 1").join(s.where("rank = 1").select("text", F.col("id").alias("first")), "text")
+    return x.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
 
 
-PAIRS = "q as (select distinct x.id as a, y.id as b from a x join a y on x.text = y.text and x.id < y.id)"
+PAIRS = f"{SENSES}, q as (select distinct least(x.id, y.id) as a, greatest(x.id, y.id) as b from s x join s y on x.text = y.text and x.rank = 1 and y.rank > 1)"
 N_ART = "nn as (select count(*) as n from p where page_type = 1)"
-IN_REL = f"""{PAIRS}, {N_ART}, e as (select distinct t as id, f as s from l where f <> t), z as (select id, count(*) as n from e group by 1),
- h as (select q.a, q.b, count(*) as ab from q join e x on x.id = q.a join e y on y.id = q.b and y.s = x.s group by 1, 2),
- r as (select q.a, q.b, za.n as na, zb.n as nb, h.ab, (ln(greatest(za.n, zb.n)) - ln(h.ab)) as up, (ln(nn.n) - ln(least(za.n, zb.n))) as down
-  from q left join z za on za.id = q.a left join z zb on zb.id = q.b left join h on h.a = q.a and h.b = q.b, nn),
- rin as (select a, b, round(case when na is null or nb is null or ab is null then 0 else 1 - case when down = 0 or up / down > 1 then 1 else up / down end end, 6) as rel from r)"""
+IN_SETS = f"{N_ART}, e as (select distinct t as id, f as s from l where f <> t), z as (select id, count(*) as n from e group by 1)"
+
+
+def in_rel(q: str, out: str) -> str:
+    """CTEs for the relatedness by in-links of the pairs (a, b) in q."""
+    return f"""h_{out} as (select q.a, q.b, count(*) as ab from {q} q join e x on x.id = q.a join e y on y.id = q.b and y.s = x.s group by 1, 2),
+ r_{out} as (select q.a, q.b, za.n as na, zb.n as nb, h.ab, (ln(greatest(za.n, zb.n)) - ln(h.ab)) as up, (ln(nn.n) - ln(least(za.n, zb.n))) as down
+  from {q} q left join z za on za.id = q.a left join z zb on zb.id = q.b left join h_{out} h on h.a = q.a and h.b = q.b, nn),
+ {out} as (select a, b, round(case when na is null or nb is null or ab is null then 0 else 1 - case when down = 0 or up / down > 1 then 1 else up / down end end, 6) as rel from r_{out})"""
+
+
+IN_REL = f"{PAIRS}, {IN_SETS}, {in_rel('q', 'rin')}"
 OUT_REL = """e2 as (select distinct l.f as id, l.t from l), i2 as (select t, count(*) as c from l group by 1), w2 as (select id, e2.t, ln(nn.n / c) as w from e2 join i2 using (t), nn),
  s2 as (select id, sum(w * w) as s from w2 group by 1), d2 as (select q.a, q.b, sum(x.w * y.w) as d from q join w2 x on x.id = q.a join w2 y on y.id = q.b and y.t = x.t group by 1, 2),
  rout as (select q.a, q.b, round(case when x.s is null or y.s is null or x.s * y.s = 0 then 0 else 1 - acos(least(1, greatest(-1, coalesce(d, 0) / (sqrt(x.s) * sqrt(y.s))))) / (pi() / 2) end, 6) as rel
@@ -315,24 +365,48 @@ def relatedness_both(t):
     return L.related(_pairs(t), t("pagelink"), _articles(t), "both")
 
 
-@R.add("shared_links", f"""with {LINK}, {FOLDED}, {PAIRS}, i as (select distinct t as m, f as x from l where f <> t), o as (select distinct f as m, t as x from l),
+def shared(q: str) -> str:
+    """CTEs for the links that the pairs (a, b) in q share or not."""
+    return f"""i as (select distinct t as m, f as x from l where f <> t), o as (select distinct f as m, t as x from l),
  ni as (select m, count(*) as n from i group by 1), no as (select m, count(*) as n from o group by 1),
- si as (select q.a, q.b, count(*) as n from q join i x on x.m = q.a join i y on y.m = q.b and y.x = x.x group by 1, 2), so as (select q.a, q.b, count(*) as n from q join o x on x.m = q.a join o y on y.m = q.b and y.x = x.x group by 1, 2)
- select q.a, q.b, coalesce(si.n, 0) as shared_in, coalesce(ia.n, 0) - coalesce(si.n, 0) as only_a_in, coalesce(ib.n, 0) - coalesce(si.n, 0) as only_b_in, coalesce(so.n, 0) as shared_out,
- coalesce(oa.n, 0) - coalesce(so.n, 0) as only_a_out, coalesce(ob.n, 0) - coalesce(so.n, 0) as only_b_out
- from q left join si using (a, b) left join so using (a, b) left join ni ia on ia.m = q.a left join ni ib on ib.m = q.b left join no oa on oa.m = q.a left join no ob on ob.m = q.b""")
+ si as (select q.a, q.b, count(*) as n from {q} q join i x on x.m = q.a join i y on y.m = q.b and y.x = x.x group by 1, 2), so as (select q.a, q.b, count(*) as n from {q} q join o x on x.m = q.a join o y on y.m = q.b and y.x = x.x group by 1, 2),
+ sh as (select q.a, q.b, coalesce(si.n, 0) as shared_in, coalesce(ia.n, 0) - coalesce(si.n, 0) as only_a_in, coalesce(ib.n, 0) - coalesce(si.n, 0) as only_b_in, coalesce(so.n, 0) as shared_out,
+  coalesce(oa.n, 0) - coalesce(so.n, 0) as only_a_out, coalesce(ob.n, 0) - coalesce(so.n, 0) as only_b_out
+  from {q} q left join si using (a, b) left join so using (a, b) left join ni ia on ia.m = q.a left join ni ib on ib.m = q.b left join no oa on oa.m = q.a left join no ob on ob.m = q.b)"""
+
+
+@R.add("shared_links", f"with {LINK}, {FOLDED}, {PAIRS}, {shared('q')} select * from sh")
 def shared_links(t):
-    """Links that two pages of one link text share or not."""
+    """Links that two senses of one link text share or not."""
     return G.shared_links(_pairs(t), t("pagelink"))
 
 
-@R.add("term_relatedness")
+def term_pairs(ranked):
+    """(t1, t2): the most frequent link text of each page with the other texts that mean it first: as many as there are texts."""
+    x = ranked.where("rank = 1 and n > 0").select("id", "text", "n")
+    top = x.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "text")).alias("x")).select("id", F.col("x.text").alias("top"))
+    return x.join(top, "id").where("text <> top").select(F.least("text", "top").alias("t1"), F.greatest("text", "top").alias("t2")).distinct()
+
+
+TERM_REL = f"""{SENSES}, tx as (select id, text, row_number() over (partition by id order by n desc, text) as k from s where rank = 1 and n > 0),
+ tp as (select distinct least(x.text, y.text) as t1, greatest(x.text, y.text) as t2 from tx x join tx y on x.id = y.id and x.k = 1 and y.k > 1),
+ sb as (select text, id, commonness as c, rank as r from s where commonness >= 0.01),
+ sp as (select t1, t2, x.id as id1, y.id as id2, (x.c + y.c) / 2 as mean, x.r as r1, y.r as r2 from tp join sb x on x.text = t1 join sb y on y.text = t2),
+ tq as (select distinct least(id1, id2) as a, greatest(id1, id2) as b from sp), {IN_SETS}, {in_rel('tq', 'trel')},
+ oo as (select sp.*, rel, row_number() over (partition by t1, t2 order by mean desc, r1, r2) as k from sp join trel on a = least(id1, id2) and b = greatest(id1, id2)),
+ fo(t1, t2, k, bench, id1, id2, rel) as (select t1, t2, k, case when rel > 0.4 then rel else 0 end::double, id1, id2, rel from oo where k = 1
+  union all select oo.t1, oo.t2, oo.k, case when oo.rel > bench + 0.4 then oo.rel else bench end, case when oo.rel > bench + 0.4 then oo.id1 else fo.id1 end,
+   case when oo.rel > bench + 0.4 then oo.id2 else fo.id2 end, case when oo.rel > bench + 0.4 then oo.rel else fo.rel end from fo join oo on oo.t1 = fo.t1 and oo.t2 = fo.t2 and oo.k = fo.k + 1),
+ ph as (select text, max(link_count) as pn from s group by 1),
+ tr as (select t1, t2, id1, id2, round(least(1.0, rel + case when pn > 0 then ln(pn) / 30 else 0 end), 6) as rel from (select * from fo qualify row_number() over (partition by t1, t2 order by k desc) = 1) f
+  left join ph on ph.text = t1 || ' ' || t2)"""
+
+
+@R.add("term_relatedness", f"with recursive {CUR}, {LINK}, {FOLDED}, {TERM_REL} select * from tr")
 def term_relatedness(t):
-    """How related link texts are that lead to one page."""
+    """How related the link texts of a page are to its most frequent one."""
     ranked = A.senses(anchors(t, terms.case_fold))
-    x = ranked.where("rank = 1 and n > 0").select("id", "text")
-    pairs = x.select("id", F.col("text").alias("t1")).join(x.select("id", F.col("text").alias("t2")), "id").where("t1 < t2").select("t1", "t2")
-    return L.by_terms(pairs, ranked, t("pagelink"), _articles(t))
+    return L.by_terms(term_pairs(ranked), ranked, t("pagelink"), _articles(t))
 
 
 _TITLES = "x as (select distinct page_title as title from page where page_title is not null)"

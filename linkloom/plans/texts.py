@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..functions import terms
+from ..operators import anchors as A
+from ..operators import annotate as N
 from ..operators import graph as G
 from ..sources import files
 from ..streaming.counts import windowed_links
-from .encyclopedia import CUR, LINK, anchors, pages
+from .encyclopedia import CUR, FOLDED, LINK, TERM_REL, anchors, pages, shared, term_pairs
 from .registry import Registry
-from .services import Encyclopedia
+from .services import Encyclopedia, respond
 
 R = Registry()
 
@@ -59,9 +61,8 @@ def preprocessed_documents(t):
 
 @R.add("preprocessed_html")
 def preprocessed_html(t):
-    """HTML contents blanked likewise."""
-    h = _contents(t).where(F.col("content").contains("</"))
-    return h.select("co_id", M.udf(M.preprocess_html, M.PREPROCESSED)(F.col("content")).alias("p")).select("co_id", "p.*")
+    """Every content read as HTML and blanked likewise."""
+    return _contents(t).select("co_id", M.udf(M.preprocess_html, M.PREPROCESSED)(F.col("content")).alias("p")).select("co_id", "p.*")
 
 
 @R.add("definitions")
@@ -115,10 +116,26 @@ def service_page(t):
     return _encyclopedia(t).search_page(top)
 
 
-@R.add("service_compare")
+@R.add("service_compare", f"with recursive {CUR}, {LINK}, {FOLDED}, {TERM_REL}, cq as (select distinct id1 as a, id2 as b from tr), {shared('cq')} select tr.*, sh.* exclude (a, b) from tr join sh on a = id1 and b = id2")
 def service_compare(t):
-    """Terms that lead to one page compared."""
+    """The most frequent link text of each page compared with its other texts."""
     e = _encyclopedia(t)
-    x = e.ranked.where("rank = 1 and n > 0").select("id", "text")
-    pairs = x.select("id", F.col("text").alias("t1")).join(x.select("id", F.col("text").alias("t2")), "id").where("t1 < t2").select("t1", "t2")
-    return e.compare(pairs)
+    return e.compare(term_pairs(e.ranked))
+
+
+@R.add("service_responses")
+def service_responses(t):
+    """The comparisons as JSON rows, and what an unknown task answers."""
+    e = _encyclopedia(t)
+    spark = e.page.sparkSession
+    return respond(spark, "compare", lambda: e.compare(term_pairs(e.ranked))).unionByName(respond(spark, "no task", lambda: e.page))
+
+
+@R.add("wikified_contents")
+def wikified_contents(t):
+    """Every content, read by its own kind of markup, with the first reference to each topic in a region as a coloured link; some titles are banned."""
+    e = _encyclopedia(t)
+    docs = _contents(t).select(F.xxhash64("co_id", "content").alias("doc"), F.col("content").alias("text"))
+    p = A.link_probability(e.anchors, A.document_occurrences(docs, "text", e.anchors, terms.case_fold)).select("text", "link_probability")
+    banned = N.banned_topics(e.page.sparkSession, "143856; Cat; dog")
+    return e.wikify(docs, p.where("link_probability >= 0.03"), 0.2, "region", banned, mode="guess", render=N.coloured(N.tooltip_tag, (200, 0, 0), (120, 120, 120)))

@@ -64,6 +64,11 @@ def check_complete(spark: SparkSession, folder: str) -> list[str]:
     return missing
 
 
+def progress(spark: SparkSession, folder: str) -> float:
+    """The part of the relations that `folder` holds in full, for who watches a load."""
+    return sum(exists(spark, f"{folder}/{r}") for r in RELATIONS) / len(RELATIONS)
+
+
 def stage(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at `path`, made and written first unless it is complete: a resumable step."""
     if not exists(spark, path):

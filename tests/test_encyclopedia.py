@@ -289,6 +289,107 @@ def test_services(df, page, links):
     assert out[1] == "About [[T3|T three]] and [[T4|t four]]." and out[2] == "nothing"
 
 
+def test_regions_and_tags(df):
+    assert N.region_bounds([(10, "open"), (30, "close"), (20, "split"), (40, "close")]) == [(10, 1), (20, 2), (30, 0), (40, 3)]
+    assert N.region_bounds([]) == []
+    refs = df([(1, s, s + 1, 9) for s in (1, 12, 15, 25, 35, 45)] + [(2, 1, 2, 9), (2, 5, 6, 9)], "doc bigint, start int, end int, id bigint")
+    marks = df([(1, 10, "open"), (1, 20, "split"), (1, 30, "close"), (1, 40, "close")], "doc bigint, start int, kind string")
+    # what was seen before a region opened counts again after it has closed
+    assert rows_of(N.by_repeat(refs, "region", marks), "doc", "start") == [(1, 1), (1, 12), (1, 25), (1, 45), (2, 1)]
+    assert rows_of(N.by_repeat(refs, "region", marks.limit(0)), "doc", "start") == [(1, 1), (2, 1)]
+    assert N.colour((0, 0, 0), (100, 200, 50), 0.5) == "rgb(50,100,25)"
+    assert N.coloured(N.wiki_tag, (9, 9, 9))("a", "B", 0.3, 1) == '<span style="color:rgb(9,9,9)">[[B|a]]</span>'
+    assert N.tooltip_tag("a", 'B "c"', 0.5, 3) == '<a id="topic3" href="B_&quot;c&quot;" title="B &quot;c&quot; (0.50)">a</a>'
+    docs = df([(1, "xay")], "k bigint, t string")
+    m = df([(1, 1, 2, "B", 0.25)], "doc bigint, start int, end int, title string, weight double")
+    assert rows_of(N.tag(docs, "k", "t", m, N.tooltip_tag)) == [(1, 'x<a id="topic1" href="B" title="B (0.25)">a</a>y')]
+
+
+def test_banned(spark, df):
+    t = df([(1, 5, "Cat"), (1, 6, "Dog"), (2, 5, "Cat"), (2, 7, None)], "doc bigint, id bigint, title string")
+    assert rows_of(N.without_banned(t, N.banned_topics(spark, "6; CAT ;;")), "doc", "id") == [(2, 7)]
+    assert rows_of(N.without_banned(t, df([(1, 5), (None, 7)], "doc bigint, id bigint")), "doc", "id") == [(1, 6), (2, 5), (2, 7)]
+    assert N.without_banned(t, N.banned_topics(spark, "")).count() == 4
+
+
+def test_link_detector_learns_and_is_kept(spark, df, tmp_path):
+    feats = {f: "double" for f in N.LINK_FEATURES}
+    rows = [(i % 20, i, *[float(i > 50 if f in ("occurrences", "generality") else i * 37 % 100) for f in N.LINK_FEATURES]) for i in range(100)]
+    rows = [tuple(None if N.LINK_FEATURES[k - 2] == "generality" and r[1] % 9 == 0 and k > 1 else v for k, v in enumerate(r)) for r in rows]
+    t = df(rows, "doc bigint, id bigint, " + ", ".join(f"{f} {k}" for f, k in feats.items()))
+    truth = df([(i % 20, i) for i in range(51, 100)], "doc bigint, id bigint")
+    train = N.link_training(t, truth)
+    assert train.where("linked = 1").count() == 49
+    score = N.link_detector(train, share=0.8)
+    got = {r["id"]: r["weight"] for r in score(t).collect()}
+    assert got[10] < 0.3 < 0.7 < got[90]
+    N.save_model(score, f"{tmp_path}/m")
+    again = N.load_model(f"{tmp_path}/m", N.LINK_FEATURES, "weight")
+    assert {r["id"]: r["weight"] for r in again(t).collect()} == got
+    N.save_rows(train, f"{tmp_path}/rows")
+    assert rows_of(spark.read.parquet(f"{tmp_path}/rows")) == rows_of(train)
+    one = N.link_detector(train.where("linked = 1"))
+    assert {r["weight"] for r in one(t).collect()} == {1.0} and one.model is None
+    assert {r["weight"] for r in N.link_detector(train.limit(0))(t).collect()} == {None}
+    with pytest.raises(ValueError):
+        N.save_model(one, f"{tmp_path}/none")
+    links = df([(7, 3), (7, 3), (None, 1), (8, None)], "pl_from bigint, pl_to bigint")
+    assert rows_of(N.own_links(df([(1, 7), (2, None), (3, 8)], "doc bigint, page_id bigint"), links)) == [(1, 3), (1, 7), (3, 8)]
+    g = N.with_generality(df([(1, 3), (1, 4)], "doc bigint, id bigint"), df([(3, 1, 0.5)], "page_id bigint, depth int, generality double"))
+    assert rows_of(g, "id", "generality") == [(3, 0.5), (4, None)]
+
+
+def test_context_of_ambiguous_terms(df):
+    c = df([(1, "x", 0.4, 10, "X", 0.5, 1), (1, "x", 0.4, 11, "Y", 0.5, 2), (1, "z", 0.9, 13, "Z", 0.01, 3), (1, "d", 0.9, 12, "May 5", 1.0, 1)],
+           "doc bigint, term string, link_probability double, id bigint, title string, commonness double, rank int")
+    l = df([(1, 10), (2, 10), (1, 11), (2, 11)], "pl_from bigint, pl_to bigint")
+    assert rows_of(N.context_of_all(c, l, 100)) == [(1, 10, 0.733333), (1, 11, 0.733333)]
+    cand = df([(1, "a", 10, 0.6), (1, "a", 12, 0.4), (1, "b", 11, 1.0)], "doc bigint, text string, id bigint, commonness double")
+    terms = df([(1, "t"), (1, "none")], "doc bigint, text string")
+    got = L.in_context_of_terms(cand, terms, df([("t", 11)], "text string, id bigint"), l, 100)
+    assert rows_of(got, "text", "id", "weight") == [("a", 10, 1.6), ("a", 12, 0.4), ("b", 11, 1.0)]
+
+
+def test_page_look_ups(df, page, links):
+    assert rows_of(G.pages_by_title(page, df([("T3", 1), ("T3", 2), ("T3", 3), (None, 1)], "title string, page_type int"))) == [("T3", 1, 3), ("T3", 2, 6)]
+    c = df([(6, 3), (9, 6), (None, 1)], "cl_parent bigint, cl_child bigint")
+    assert G.root_category(page, c, "T3") == 6 and G.root_category(page, c, "none") == 9 and G.root_category(page, c.limit(0)) is None
+    assert rows_of(G.page_offset(page, 2, 2), "page_id") == [(3,), (4,)]
+    assert rows_of(G.round_robin(page.select("page_id"), "page_id", 3)) == [(i, (i - 1) % 3) for i in range(1, 9)]
+    assert rows_of(G.ranked_links(page, links, 1), "page_id", "sense_id", "rank") == [(1, 3, 1), (1, 4, 2), (2, 2, 1), (2, 3, 2), (2, 4, 3), (5, 4, 1)]
+    tr = df([(1, "de", "Katze"), (1, "fr", "Chat"), (1, "de", "Katze"), (None, "de", "x")], "tl_id bigint, tl_lang string, tl_text string")
+    assert [(r[0], r[1], r[2]) for r in G.translations(tr).collect()] == [(1, ["de", "fr"], {"de": "Katze", "fr": "Chat"})]
+    content = df([(1, "one two three four"), (2, "* a entry\n* b entry\nline of text"), (3, None), (4, "{{x}} [[a|b]] word")], "id bigint, text string")
+    assert rows_of(G.valid_articles(page, links, content)) == [(i,) for i in range(1, 6)]
+    assert rows_of(G.valid_articles(page, links, content, words=(3, 100))) == [(1,), (2,)]
+    assert rows_of(G.valid_articles(page, links, content, list_share=0.5)) == [(1,), (4,)]
+    assert rows_of(G.valid_articles(page, links, content, link_share=(0.45, 1.0))) == [(1,)]
+
+
+def test_wikify_sources_and_responses(spark, df, page, links):
+    from linkloom.plans.services import as_json, respond
+
+    anchors = df([("t three", 3, 9), ("t four", 4, 9)], "text string, id bigint, n bigint")
+    e = Encyclopedia(page, links, df([(8, 3)], "rd_from bigint, rd_to bigint"), df([(6, 3)], "cl_parent bigint, cl_child bigint"), anchors, df([(3, "x")], "id bigint, text string"))
+    probs = df([("t three", 0.9), ("t four", 0.9)], "text string, link_probability double")
+    docs = df([(1, "T three <b>t four</b> and t three"), (2, "[[T4]] is t four, t three"), (3, None)], "doc bigint, text string")
+    how = {"least": 0.0, "score": N.logistic({"commonness": 5.0}, -1.0, "confidence"), "mode": "guess"}
+    out = {r["doc"]: r["tagged"] for r in e.wikify(docs, probs, **how).collect()}
+    assert out == {1: "[[T3|T three]] <b>[[T4|t four]]</b> and t three", 2: "[[T4]] is t four, [[T3|t three]]", 3: None}
+    out = {r["doc"]: r["tagged"] for r in e.wikify(docs, probs, banned=N.banned_topics(spark, "t3"), render=N.html_tag, **how).collect()}
+    assert out[1] == 'T three <b><a href="T4">t four</a></b> and t three'
+    rows = [r["response"] for r in as_json(df([(1, None)], "a int, b string")).collect()]
+    assert rows == ['{"a":1,"b":null}']
+    assert [r["error"] for r in respond(spark, "none", lambda: page).collect()] == ["ValueError: no such task: none"]
+    assert respond(spark, "search", lambda: page).where("error is null").count() == page.count()
+
+
+def test_load_progress(spark, df, tmp_path):
+    assert files.progress(spark, str(tmp_path)) == 0
+    files.load(df([(1, 2)], "pl_from bigint, pl_to bigint"), "pagelink", f"{tmp_path}/pagelink")
+    assert files.progress(spark, str(tmp_path)) == 1 / len(files.RELATIONS)
+
+
 def test_entry_lists():
     import __spark_entry__ as e
 
