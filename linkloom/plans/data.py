@@ -102,7 +102,11 @@ def p4_found(t):
     return h.under_roots().select("root_id", "node_id", "depth").unionByName(rings)
 
 
-@R.add("p4_paths")
+@R.add("p4_paths", f"""with recursive {_LINKS},
+  r(root_id, node_id, depth, path) as (
+    select p, p, 0, [p] from (select distinct p from e where p not in (select c from e))
+    union select r.root_id, e.c, r.depth + 1, min(list_append(r.path, e.c)) from r join e on e.p = r.node_id where r.depth < 400 and not list_contains(r.path, e.c) group by 1, 2, 3)
+  select root_id, node_id, min(depth)::int as depth, arg_min(path, depth) as path from r group by 1, 2""")
 def p4_paths(t):
     """The path of fewest links from each root to each node (of smallest ids among equals)."""
     return hierarchy(t("categorylink"), "cl_parent", "cl_child", paths=True).under_roots()

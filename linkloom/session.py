@@ -66,14 +66,18 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
-    if spark not in _made:
-        _made[spark] = []
-    _made[spark].append(path)
+    keep(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._linkloom_path = path
     return out
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """Remembers a written path until the session ends, when it is deleted."""
+    _made.setdefault(spark, []).append(path)
+    return path
+
+
 def drop(*dfs: DataFrame) -> None:
     """Deletes what `cut` wrote for these DataFrames; others are left alone."""
     for df in dfs:
