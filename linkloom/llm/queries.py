@@ -92,7 +92,10 @@ def p7_found(t):
     return SimilarSets(t("pagelink"), "pl_from", "pl_to", 0.7, least=5).pairs().select(F.col("a").alias("from_a"), F.col("b").alias("from_b"))
 
 
-@R.add("p7_classes")
+@R.add("p7_classes", f"""with {_SETS}, t as (select f, list(k order by k) as toks from q group by 1), m as (select f, min(f) over (partition by toks) as rep, count(*) over (partition by toks) as copies from t),
+ e as (select a, b from c where shared / (na + nb - shared) >= 0.7 and a in (select rep from m) and b in (select rep from m)),
+ n as (select rep, count(*) as links from (select a as rep from e union all select b from e) group by 1)
+ select f as id, rep as class, copies, coalesce(links, 0) as links from m left join n using (rep)""")
 def p7_classes(t):
     """The class of equal sets of every source, its copies and its links to other classes."""
     return SimilarSets(t("pagelink"), "pl_from", "pl_to", 0.7, least=5).classes()
