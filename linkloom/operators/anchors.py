@@ -132,6 +132,12 @@ def link_probability(anchors: DataFrame, occurrences: DataFrame) -> DataFrame:
     return n.join(occurrences, "text").select("text", "link_count", "occ_count", p.alias("link_probability"))
 
 
+def statistics(anchors: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(text, link_count, occ_count) of every link text; -1 documents where none have been counted for it."""
+    n = anchors.groupBy("text").agg(F.sum("n").alias("link_count"))
+    return n.join(occurrences.select("text", "occ_count"), "text", "left").select("text", "link_count", F.coalesce("occ_count", F.lit(-1).cast("bigint")).alias("occ_count"))
+
+
 def merge_counts(parts: DataFrame) -> DataFrame:
     """(text, link_count, occ_count) summed over parts; only texts that have links."""
     s = parts.groupBy("text").agg(F.sum("link_count").alias("link_count"), F.sum("occ_count").alias("occ_count"))

@@ -68,6 +68,12 @@ def in_adjacency(page: DataFrame, links: DataFrame) -> DataFrame:
     return page.select("page_id").join(lists.withColumnRenamed("id", "page_id"), "page_id", "left").select("page_id", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
 
 
+def in_chunks(links: DataFrame, width: int = 10_000) -> DataFrame:
+    """(page_id, part, sources): the distinct sources of each target in lists by ranges of `width` ids, so that no list is longer, however many links a page has."""
+    e = in_edges(links).select(F.col("id").alias("page_id"), F.floor(F.col("source") / width).alias("part"), "source")
+    return e.groupBy("page_id", "part").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+
+
 def out_adjacency(links: DataFrame) -> DataFrame:
     """(page_id, targets): ascending (target, lc_in) of each source."""
     return out_edges(links).groupBy(F.col("id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("target", "lc_in"))).alias("targets"))

@@ -74,6 +74,12 @@ def in_adjacency(t):
     return G.in_adjacency(pages(t), t("pagelink"))
 
 
+@R.add("in_adjacency_chunks", f"with {LINK} select t as page_id, f // 10000 as part, list(distinct f order by f) as sources from l where f <> t group by 1, 2")
+def in_adjacency_chunks(t):
+    """The source lists of every page by ranges of ids."""
+    return G.in_chunks(t("pagelink"))
+
+
 @R.add("out_adjacency", f"""with {LINK}, n as (select t, count(*) as lc_in from l group by 1), d as (select distinct f, l.t, lc_in from l join n on n.t = l.t)
  select f as page_id, list({{'target': t, 'lc_in': lc_in}} order by t) as targets from d group by 1""")
 def out_adjacency(t):
@@ -316,6 +322,14 @@ def link_probability(t):
     return A.link_probability(a, A.document_occurrences(t("documents"), "text", a, terms.case_fold))
 
 
+@R.add("anchor_statistics", f"with {FOLDED}, {LINKP} select text, link_count, case when occ_count > 0 then occ_count else -1 end as occ_count from lp")
+def anchor_statistics(t):
+    """Links and documents of each link text, where it was met in any."""
+    a = anchors(t, terms.case_fold)
+    met = A.document_occurrences(t("documents"), "text", a, terms.case_fold).where("occ_count > 0")
+    return A.statistics(a, met)
+
+
 def _pairs(t):
     """Pairs of the first sense of each link text, case folded, with its other senses: as many as there are senses."""
     s = A.senses(anchors(t, terms.case_fold)).select("text", "id", "rank")

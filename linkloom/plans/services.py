@@ -62,7 +62,7 @@ class Encyclopedia:
         return s.join(d, "id", "left").select(F.col("text").alias("term"), "id", "title", "commonness", "rank", "definition")
 
     def search_page(self, page_id: int, links: int = 250) -> DataFrame:
-        """(part, id, title, value): all that is known of one page, by part; lists of links end at `links`."""
+        """(part, id, title, value): all that is known of one page, by part; lists of links end at `links`, those of children at one more, which tells that there are more."""
         p = self.page
         me = p.where(F.col("page_id") == page_id)
         row = lambda df, part, i, t, v: df.select(F.lit(part).alias("part"), F.col(i).cast("bigint").alias("id"), F.col(t).alias("title"), F.col(v).cast("double").alias("value"))
@@ -74,7 +74,7 @@ class Encyclopedia:
         out = out.unionByName(row(one(G.parents(p, self.categorylink.where(F.col("cl_child") == page_id))), "parent", "parent_id", "parent_title", "one"))
         kids = self.categorylink.where(F.col("cl_parent") == page_id)
         for part, kind in (("child category", G.CATEGORY), ("child article", G.ARTICLE)):
-            out = out.unionByName(row(one(G.children(p, kids, kind)), part, "child_id", "child_title", "one"))
+            out = out.unionByName(row(one(G.children(p, kids, kind).orderBy("child_id").limit(links + 1)), part, "child_id", "child_title", "one"))
         n = self.articles()
         for part, incoming, end in (("link in", True, "pl_to"), ("link out", False, "pl_from")):
             l = G.linked_pages(p, self.pagelink.where(F.col(end) == page_id), incoming).orderBy("other_id").limit(links)

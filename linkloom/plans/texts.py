@@ -11,7 +11,7 @@ from ..operators import annotate as N
 from ..operators import graph as G
 from ..sources import files
 from ..streaming.counts import windowed_links
-from .encyclopedia import CUR, FOLDED, LINK, TERM_REL, anchors, pages, shared, term_pairs
+from .encyclopedia import CUR, FOLDED, IN_SETS, LINK, TERM_REL, anchors, in_rel, pages, shared, term_pairs
 from .registry import Registry
 from .services import Encyclopedia, respond
 
@@ -71,6 +71,13 @@ def definitions(t):
     return _contents(t).select("co_id", M.udf(M.define)(F.col("content")).alias("definition"))
 
 
+@R.add("definition_summary")
+def definition_summary(t):
+    """The first sentence and paragraph of every content, the relation that look-ups of definitions read."""
+    c = F.col("content")
+    return _contents(t).select(F.col("co_id").alias("df_id"), M.udf(M.first_sentence)(c).alias("df_firstsentence"), M.udf(M.first_paragraph)(c).alias("df_firstparagraph"))
+
+
 @R.add("term_processors")
 def term_processors(t):
     """Every link text by each term processor."""
@@ -109,7 +116,23 @@ def service_search(t):
     return e.search_terms(e.anchors.select(F.col("text").alias("term")))
 
 
-@R.add("service_page")
+_IDS = "select least(me.x, o.other_id) as a, greatest(me.x, o.other_id) as b from"
+
+
+@R.add("service_page", f"""with {CUR}, {LINK}, {FOLDED}, me as (select pl_to as x from pagelink where pl_to is not null group by 1 order by count(*) desc, 1 limit 1),
+ c as (select distinct cl_parent, cl_child from categorylink where cl_parent is not null and cl_child is not null), {IN_SETS},
+ li as (select distinct f as other_id, page_title from l join p on page_id = f, me where t = x and page_type in (1, 4) order by 1 limit 250),
+ lo as (select distinct t as other_id, page_title from l join p on page_id = t, me where f = x and page_type in (1, 4) order by 1 limit 250),
+ q as (select distinct a, b from ({_IDS} me, li o union all {_IDS} me, lo o)), {in_rel('q', 'rin')},
+ tx as (select text, n, case when sum(n) over () > 0 then round(n / sum(n) over (), 6) end as proportion from a, me where id = x)
+ select 'page' as part, page_id as id, page_title as title, page_type::double as value from p, me where page_id = x
+ union all select 'text', x, text, proportion from tx, me where n > 0
+ union all select 'redirect', rd_from, page_title, 1.0 from (select distinct rd_from, rd_to from redirect) r join p on page_id = rd_from, me where rd_to = x
+ union all select 'parent', cl_parent, page_title, 1.0 from c join p on page_id = cl_parent, me where cl_child = x
+ union all select * from (select 'child category', cl_child, page_title, 1.0 from c join p on page_id = cl_child, me where cl_parent = x and page_type = 2 order by 2 limit 251)
+ union all select * from (select 'child article', cl_child, page_title, 1.0 from c join p on page_id = cl_child, me where cl_parent = x and page_type = 1 order by 2 limit 251)
+ union all select 'link in', other_id, page_title, rel from li, me left join rin on a = least(x, other_id) and b = greatest(x, other_id)
+ union all select 'link out', other_id, page_title, rel from lo, me left join rin on a = least(x, other_id) and b = greatest(x, other_id)""")
 def service_page(t):
     """All that is known of the page with most links."""
     top = t("pagelink").where("pl_to is not null").groupBy("pl_to").count().orderBy(F.desc("count"), "pl_to").first()[0]

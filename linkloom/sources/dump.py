@@ -19,6 +19,7 @@ DISAMBIGUATION_MARKS = ("{{disambig}}", "{{disambig-cleanup}}", "{{geodis}}", "{
 MAIN, CATEGORY_SPACE = 0, 14
 
 _LINK = re.compile(r"\[\[\s*([^\[\]]+)\]\]")
+_LANGUAGE = re.compile(r"[a-z]{2,3}(?:-[a-z]+)*:")
 PAGE_SCHEMA = "id bigint, title string, redirect struct<_title: string>, revision struct<text: struct<_VALUE: string>>"
 
 
@@ -108,13 +109,16 @@ def resolved(l: DataFrame, index: DataFrame, rd: DataFrame) -> DataFrame:
 
 
 def disambiguations(pages: DataFrame, index: DataFrame, rd: DataFrame) -> DataFrame:
-    """(da_from, da_to, da_index, da_scope): the first link of each line before 'See also', unless the page's title stands before it."""
+    """(da_from, da_to, da_index, da_scope): the first link of each line before 'See also' and before the links to other languages, unless the page's title stands before it."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, title, t in zip(b["id"], b["title"], b["text"], strict=True):
                 for n, line in enumerate(re.split(r"(?mi)^=+\s*see also", t)[0].split("\n")):
                     m = _LINK.search(line)
+                    if m and _LANGUAGE.match(m[1]):
+                        break
                     if not m or title.lower() in line[: m.start()].lower():
                         continue
                     scope = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", r"\1", line).strip("*#:; '\t")

@@ -37,6 +37,10 @@ def test_link_summaries(page, links):
     assert rows_of(G.page_stats(page)) == [(5, 1, 1, 1)]
 
 
+def test_adjacency_in_chunks(links):
+    assert rows_of(G.in_chunks(links, 2)) == [(3, 0, [1]), (3, 1, [2]), (4, 0, [1]), (4, 1, [2]), (4, 2, [5])]
+
+
 def test_redirects_end_and_rings(df):
     r = df([(10, 11), (11, 3), (20, 21), (21, 20), (30, 20), (31, 30), (40, 40), (None, 1), (1, None)], "rd_from bigint, rd_to bigint")
     assert rows_of(G.resolve_redirects(r), "rd_from", "rd_to") == [(10, 3), (11, 3), (20, 20), (21, 21), (30, 20), (31, 20), (40, 40)]
@@ -84,6 +88,7 @@ def test_senses(df, page):
     occ = df([("plane", 40), ("Plane", 1), ("x", 0)], "text string, occ_count bigint")
     assert {r["text"]: r["link_probability"] for r in A.link_probability(a, occ).collect()} == {"plane": 0.25, "Plane": 1.0, "x": 0.0}
     assert [tuple(x) for x in A.anchor_summary(a).where("text = 'plane'").first()["senses"]] == [(6, 10), (3, 11), (1, 12)]
+    assert rows_of(A.statistics(a, occ.where("text = 'plane'"))) == [("Plane", 2, -1), ("plane", 10, 40), ("x", 0, -1)]
     full = A.fill_titles(a, page, df([(8, 4, 1)], "rd_from bigint, rd_to bigint, hops bigint"))
     assert ("T8", 4, 0) in rows_of(full) and ("T1", 1, 0) in rows_of(full)
     parts = df([("a", 1, 2), ("a", 2, 3), ("b", 0, 9)], "text string, link_count bigint, occ_count bigint")
@@ -216,6 +221,8 @@ DUMP = """<mediawiki><siteinfo><namespaces><namespace key="0"/><namespace key="1
 <page><title>Animals</title><id>5</id><revision><text>{{disambig}}
 * [[Cat]], a pet
 * [[Felid]]
+[[de:Tiere]]
+* [[Kitty]]
 == See also ==
 * [[Kitty]]</text></revision></page>
 <page><title>Talk:Cat</title><id>6</id><revision><text>x</text></revision></page></mediawiki>"""
@@ -229,7 +236,7 @@ def test_dump(spark, tmp_path):
     assert rows_of(r["redirect"]) == [(2, 1)]
     assert rows_of(r["pagelink"].where("pl_from <> 5")) == [(1, 1), (1, 3), (2, 1), (3, 1)]
     assert rows_of(r["categorylink"]) == [(4, 1)]
-    assert rows_of(r["translation"]) == [(1, "de", "Katze")]
+    assert rows_of(r["translation"]) == [(1, "de", "Katze"), (5, "de", "Tiere")]
     assert rows_of(r["disambiguation"]) == [(5, 1, 1, "Cat, a pet"), (5, 3, 2, "Felid")]
     assert rows_of(r["equivalence"]) == [(4, 5)]
     assert ("small felid", 3, 1) in rows_of(r["anchor"])
