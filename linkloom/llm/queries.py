@@ -113,16 +113,16 @@ def p8_counts(t):
     return encode_texts(t("documents"), "doc_id", "text", "byte_bpe_multi_50k.tiktoken", counts_only=True)
 
 
-def _mixture(t, curriculum: bool = False):
+def _mixture(t, curriculum: bool = True):
     m = Mixture(t("documents"), "doc_id", "text", "source", t("mixtargets"), "mt_source", "mt_weight", "mt_max_repeat")
-    if curriculum:  # plain entries first, talk and lists later
+    if curriculum:  # plain entries first, talk and lists later; each schedule's integral is its source's weight
         m.schedules = ramp({s: p[0] for s, p in m.plan.items()}, {"dump_main", "abstracts", "glossary"})
     return m
 
 
 @R.add("p9_mix")
 def p9_mix(t):
-    """The mixture: each text's copies with their training positions, in order."""
+    """The mixture along a curriculum of weights that change over the training run: each text's copies with their training positions, in order."""
     return _mixture(t).draws()
 
 
@@ -132,10 +132,10 @@ def p9_shares(t):
     return _mixture(t).shares()
 
 
-@R.add("p9_curriculum")
-def p9_curriculum(t):
-    """The mixture with weights that change over the training run."""
-    return _mixture(t, curriculum=True).draws()
+@R.add("p9_flat")
+def p9_flat(t):
+    """The mixture with weights that stay the same over the training run."""
+    return _mixture(t, curriculum=False).draws()
 
 
 def _subjects(t):
