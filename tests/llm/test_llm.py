@@ -458,8 +458,10 @@ def test_subjects_held_out(df):
     assert J.assign_subjects(d.limit(0), "doc_id", "text", "page", "src", df(labels, "d bigint, l string"), "d", "l", sub, "s").count() == 0
 
 
-def test_queries_run_on_smallest_tables(spark):
+def test_queries_on_smallest_tables(spark):
     from linkloom.llm.queries import R
 
-    for name, q in R.queries.items():
-        assert q(spark, "/root/testdata/sf0.001").count() >= 0, name
+    empty = {name for name, q in R.queries.items() if not q(spark, "/root/testdata/sf0.001").count()}
+    assert empty <= {"p7_found", "p10_found", "p10_composition"}  # few sources and labels there
+    for name in ("p7_found", "p10_found"):
+        assert R.queries[name](spark, "/root/testdata/sf0.01").count() > 0
