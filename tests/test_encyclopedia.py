@@ -13,7 +13,7 @@ from linkloom.operators import graph as G
 from linkloom.operators import relatedness as L
 from linkloom.plans.services import Encyclopedia
 from linkloom.sources import dump, files
-from linkloom.streaming.counts import follow, totals, windowed_links
+from linkloom.streaming.counts import follow, follow_windows, totals, windowed_links
 
 LINKS = [(1, 3), (1, 3), (1, 4), (2, 3), (2, 4), (2, 2), (5, 4), (None, 3), (1, None)]
 
@@ -282,6 +282,20 @@ def test_streaming(spark, df, tmp_path):
     assert sorted(r["links"] for r in w.collect()) == [1, 2]
 
 
+def test_stream_counts_late_links(spark, df, tmp_path):
+    """A link that comes a year late is counted as in the batch query."""
+    from datetime import datetime
+
+    p, kind = str(tmp_path), "at timestamp, t bigint"
+    loads = [[(datetime(2023, 3, 1), 1), (datetime(2023, 3, 2), 2)], [(datetime(2022, 1, 5), 1), (datetime(2023, 3, 3), 1), (None, 1), (datetime(2023, 3, 3), None)]]
+    for rows in loads:
+        df(rows, kind).coalesce(1).write.mode("append").parquet(f"{p}/in")
+        follow_windows(spark.readStream.schema(kind).parquet(f"{p}/in"), f"{p}/out", f"{p}/ck", "at", "t").awaitTermination(120)
+    got = rows_of(totals(spark, f"{p}/out", ["start", "target"], ["links"]), "start", "target", "links")
+    want = rows_of(windowed_links(df(loads[0] + loads[1], kind), "at", "t"), "start", "target", "links")
+    assert got == want and len(got) == 3
+
+
 def test_services(df, page, links):
     anchors = df([("t three", 3, 5), ("t three", 4, 5), ("t four", 4, 9)], "text string, id bigint, n bigint")
     e = Encyclopedia(page, links, df([(8, 3)], "rd_from bigint, rd_to bigint"), df([(6, 3)], "cl_parent bigint, cl_child bigint"), anchors, df([(3, "T3 is a page."), (4, None)], "id bigint, text string"))
