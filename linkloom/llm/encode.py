@@ -6,9 +6,10 @@ import base64
 import heapq
 import json
 import os
+import struct
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ CHARS_AT_ONCE, WORDS_KEPT = 8_000_000, 400_000
 
 # The patterns that split text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: No piece goes on from a letter to a blank.
+SPLIT_PIECES = "\u2581*[^\u2581]+|\u2581+"
 SPLIT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
@@ -33,12 +36,50 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+_BLANK, _NORMAL = "\u2581", 1
+
+
+def _read_pieces(path: str) -> list[tuple[str, float, int]]:
+    """(text, score, kind) of each piece of a piece model: field 1 of the message, whose fields 1 to 3 they are."""
+
+    def fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
+        i = 0
+
+        def number() -> int:
+            nonlocal i
+            x = shift = 0
+            while True:
+                c = b[i]
+                i += 1
+                x |= (c & 127) << shift
+                shift += 7
+                if c < 128:
+                    return x
+
+        while i < len(b):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+                continue
+            n = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            yield key >> 3, b[i : i + n]
+            i += n
+
+    out = []
+    with open(path, "rb") as f:
+        for number, value in fields(f.read()):
+            if number == 1:
+                x = dict(fields(value))
+                out.append((x[1].decode("utf-8"), struct.unpack("<f", x[2])[0] if 2 in x else 0.0, x.get(3, _NORMAL)))
+    return out
+
+
 class PairIndexBPE:
     """Byte-pair encoder of many words at once."""
 
     def __init__(self, path: str) -> None:
         pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        self.suffix, self.fold = "", False
+        self.suffix, self.fold, self.blank = "", False, None
         pattern = SPLIT
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
@@ -63,8 +104,21 @@ class PairIndexBPE:
                     a, b = ranks.get(word[:k]), ranks.get(word[k:])
                     if a is not None and b is not None:
                         pairs[a, b] = (rank, rank)
+        elif path.endswith(".model"):
+            pattern = SPLIT_PIECES
+            pieces = _read_pieces(path)
+            normal = {t: (i, score) for i, (t, score, kind) in enumerate(pieces) if kind == _NORMAL}
+            # runs of blanks have one score, the lowest, and are put together last
+            self.blank, self.runs = normal[_BLANK][0], {len(t): i for t, (i, _) in normal.items() if not t.strip(_BLANK)}
+            self.chars = {t: [i] for t, (i, _) in normal.items() if len(t) == 1}
+            self.bytes = [next(i for i, (t, _, _) in enumerate(pieces) if t == f"<0x{b:02X}>") for b in range(256)]
+            ranked = sorted((-score, i, t) for t, (i, score) in normal.items() if len(t) > 1 and t.strip(_BLANK))
+            for rank, (_, i, t) in enumerate(ranked):
+                for k in range(1, len(t)):
+                    if t[:k] in normal and t[k:] in normal:
+                        pairs[normal[t[:k]][0], normal[t[k:]][0]] = (rank, i)
         else:
-            raise ValueError(f"{os.path.basename(path)} is no list of byte pairs; .json and .tiktoken files are")
+            raise ValueError(f"{os.path.basename(path)} is no list of pairs; .json, .tiktoken and .model files are")
         self.pattern = regex.compile(pattern)
         keys = np.array([(a << 32) | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
@@ -76,6 +130,8 @@ class PairIndexBPE:
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str]:
+        if self.blank is not None:
+            text = _BLANK + text.replace(" ", _BLANK)
         if self.fold:
             text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
             text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))  # no final form of sigma
@@ -96,15 +152,21 @@ class PairIndexBPE:
         its positions at once, and the pairs that arise beside them join the lists of their ranks. A position
         whose symbols have changed since is passed over; of overlapping ones (aaa) the left one is taken.
         """
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        size = np.array([len(d) for d in data], np.int64)
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        if not len(raw):
+        if self.blank is None:
+            data = [w.encode("utf-8", "surrogatepass") for w in words]
+            size = np.array([len(d) for d in data], np.int64)
+            raw = np.frombuffer(b"".join(data), np.uint8)
+            sym = self.first[raw]
+        else:
+            data = [[i for c in w for i in self.chars.get(c) or [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]] for w in words]
+            size = np.array([len(d) for d in data], np.int64)
+            sym = np.array(list(chain.from_iterable(data)), np.int64)
+        if not len(sym):
             return [()] * len(words)
         ends = np.cumsum(size)
-        sym = self.first[raw].copy()
         tails = ends[size > 0] - 1
-        sym[tails] = self.last[raw[tails]]
+        if self.blank is None:
+            sym[tails] = self.last[raw[tails]]
         n = len(sym)
         nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
         nxt[tails] = -1
@@ -155,7 +217,35 @@ class PairIndexBPE:
         alive = sym >= 0
         ids = sym[alive].tolist()
         counts = np.concatenate(([0], np.cumsum(alive)))
-        return [tuple(ids[counts[e - s] : counts[e]]) for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        out = [tuple(ids[counts[e - s] : counts[e]]) for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        return out if self.blank is None else [self._with_runs(w) for w in out]
+
+    def _with_runs(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Blanks side by side put together to the runs that the vocabulary has, from the left."""
+        out: list[int] = []
+        for i, group in groupby(ids):
+            n = len(list(group))
+            out += [i] * n if i != self.blank or n == 1 else self._run(n)
+        return tuple(out)
+
+    def _run(self, n: int) -> list[int]:
+        """n blanks: of all neighbours that make a run of the vocabulary the left ones are put together first."""
+        size, nxt, prv = [1] * n, list(range(1, n)) + [-1], list(range(-1, n - 1))
+        heap = [(i, 1, 1) for i in range(n - 1) if 2 in self.runs]
+        while heap:
+            i, a, b = heapq.heappop(heap)
+            j = nxt[i]
+            if size[i] != a or j < 0 or size[j] != b:
+                continue
+            size[i], size[j] = a + b, 0
+            nxt[i] = nxt[j]
+            if nxt[i] >= 0:
+                prv[nxt[i]] = i
+                if size[i] + size[nxt[i]] in self.runs:
+                    heapq.heappush(heap, (i, size[i], size[nxt[i]]))
+            if prv[i] >= 0 and size[prv[i]] + size[i] in self.runs:
+                heapq.heappush(heap, (prv[i], size[prv[i]], size[i]))
+        return [self.runs[k] for k in size if k]
 
     def encode(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known to `kept` afterwards."""
@@ -198,7 +288,7 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
     One row for each row, null keys and repeated rows too. Null and empty texts both have an empty list (0
     tokens). White space and all characters are kept (by a tokenizer that folds case and white space: as its
     own rules say); text that looks like a special token is ordinary text. Whole texts of any length are
-    encoded. `tokenizer` is a .json or .tiktoken byte-pair file in `folder`, read by each Python worker once.
+    encoded. `tokenizer` is a .json, .tiktoken or .model pair file in `folder`, read by each Python worker once.
     Only the two columns are read; there is no shuffle.
     """
     path = os.path.join(folder, tokenizer)

@@ -113,6 +113,12 @@ def p8_counts(t):
     return encode_texts(t("documents"), "doc_id", "text", "byte_bpe_multi_50k.tiktoken", counts_only=True)
 
 
+@R.add("p8_pieces")
+def p8_pieces(t):
+    """The token ids of every document by a piece tokenizer."""
+    return encode_texts(t("documents"), "doc_id", "text", "piece_bpe_32k.model").select("doc_id", "ids")
+
+
 def _mixture(t, curriculum: bool = True):
     m = Mixture(t("documents"), "doc_id", "text", "source", t("mixtargets"), "mt_source", "mt_weight", "mt_max_repeat")
     if curriculum:  # plain entries first, talk and lists later; each schedule's integral is its source's weight

@@ -342,7 +342,16 @@ def test_encoder_matches_public_libraries():
     t = tiktoken.Encoding("own", pat_str=E.SPLIT.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"), mergeable_ranks=ranks, special_tokens={})
     assert [[i for w in s for i in mine.kept[w]] for s in mine.encode(texts)] == [t.encode_ordinary(x) for x in texts]
     with pytest.raises(ValueError):
-        E.PairIndexBPE(f"{E.TOKENIZERS}/piece_bpe_32k.model")
+        E.PairIndexBPE(f"{E.TOKENIZERS}/README.md")
+
+
+def test_piece_encoder_matches_the_public_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rnd = random.Random(3)
+    texts = TEXTS + ["".join(rnd.choice("abc eTh é\n'.,12漢 \u2581🌍") for _ in range(200)) for _ in range(60)] + [" " * n + "x" + " " * n for n in range(1, 70)] + ["<s> <0x0A> </s>", "a" + " " * 5000]
+    mine = E.PairIndexBPE(f"{E.TOKENIZERS}/piece_bpe_32k.model")
+    t = sentencepiece.SentencePieceProcessor(model_file=f"{E.TOKENIZERS}/piece_bpe_32k.model")
+    assert [[i for w in s for i in mine.kept[w]] for s in mine.encode(texts)] == t.encode(texts)
 
 
 def test_encode_texts(df):
