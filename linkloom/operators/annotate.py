@@ -393,8 +393,8 @@ Render = Callable[[str, str, float, int], str]
 
 
 def wiki_tag(text: str, title: str, weight: float = 0.0, n: int = 0) -> str:
-    """[[title|text]], or [[text]] if they differ in case at most."""
-    return f"[[{text}]]" if text.lower() == (title or "").lower() else f"[[{title}|{text}]]"
+    """[[title|text]], or [[text]] if they differ in case at most or there is no title."""
+    return f"[[{text}]]" if text.lower() == (title or text).lower() else f"[[{title}|{text}]]"
 
 
 def html_tag(text: str, title: str, weight: float = 0.0, n: int = 0) -> str:

@@ -158,7 +158,14 @@ def _tagged(t, repeat: str, regions=None):
     return N.by_repeat(N.without_overlaps(x.select("doc", "start", "end", "id", "title", "weight")), repeat, regions)
 
 
-@R.add("tagged_documents")
+@R.add("tagged_documents", f"""with recursive {TOPICS}, rf as (select r.doc, r.start, r."end", c.id, c.title, row_number() over (partition by r.doc order by r.start, r."end" desc, c.id) as k
+  from refs r join chosen c on c.doc = r.doc and c.term = r.term join topics t on t.doc = r.doc and t.id = c.id and t.weight >= 0.2),
+ fold(doc, k, upto, kept) as (select doc, k, "end", true from rf where k = 1
+  union all select rf.doc, rf.k, case when rf.start >= upto then rf."end" else upto end, rf.start >= upto from fold join rf on rf.doc = fold.doc and rf.k = fold.k + 1),
+ one as (select rf.* from rf join fold using (doc, k) where kept qualify row_number() over (partition by doc, id order by start, "end") = 1),
+ cut as (select o.*, text, lag(o."end", 1, 0) over (partition by doc order by o.start) as prev, substr(text, o.start + 1, o."end" - o.start) as word from one o join documents d on d.doc_id = o.doc),
+ put as (select doc, any_value(text) as text, max("end") as last, string_agg(substr(text, prev + 1, start - prev) || '[[' || case when title is null or lower(title) = lower(word) then '' else title || '|' end || word || ']]', '' order by start) as head from cut group by 1)
+ select doc_id as doc, case when head is null then d.text else head || substr(d.text, last + 1) end as tagged from documents d left join put on put.doc = d.doc_id where doc_id is not null""")
 def tagged_documents(t):
     """The documents with the first reference to each of their better topics as a link."""
     return N.tag(t("documents"), "doc_id", "text", _tagged(t, "first"))

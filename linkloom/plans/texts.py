@@ -146,7 +146,9 @@ def service_compare(t):
     return e.compare(term_pairs(e.ranked))
 
 
-@R.add("service_responses")
+@R.add("service_responses", f"""with recursive {CUR}, {LINK}, {FOLDED}, {TERM_REL}, cq as (select distinct id1 as a, id2 as b from tr), {shared('cq')}
+ select 'compare' as task, null as error, to_json(x)::varchar as response from (select struct_pack(t1 := t1, t2 := t2, id1 := id1, id2 := id2, rel := rel, shared_in := shared_in, only_a_in := only_a_in, only_b_in := only_b_in,
+  shared_out := shared_out, only_a_out := only_a_out, only_b_out := only_b_out) as x from tr join sh on a = id1 and b = id2) union all select 'no task', 'ValueError: no such task: no task', null""")
 def service_responses(t):
     """The comparisons as JSON rows, and what an unknown task answers."""
     e = _encyclopedia(t)

@@ -15,10 +15,10 @@ CORE = [q for q in entry.queries() if not q.startswith(LLM)]
 CHECKED = [
     "p1_found", "p1_counts", "p2_found", "p2_targets", "p3_found", "p4_found", "p4_paths", "p4_descendants", "link_counts", "in_adjacency_chunks", "redirect_targets", "generality", "contains",
     "disambiguation_senses", "pages_by_title", "round_robin", "article_sample", "anchor_titles", "senses", "link_probability", "relatedness_both", "shared_links", "term_relatedness",
-    "link_features", "ambiguous_context", "senses_in_terms", "topic_evaluation", "service_page", "service_compare", "dump_pagelinks", "links_by_window",
+    "link_features", "ambiguous_context", "senses_in_terms", "topic_evaluation", "service_page", "service_compare", "service_responses", "tagged_documents", "dump_pagelinks", "links_by_window",
 ]
 #: Without SQL.
-OTHERS = {"p3_cover": 4, "tagged_documents": 2, "tagged_regions": 2, "wikified_contents": 3, "plain_text": 5, "definition_summary": 3, "preprocessed_html": 6, "service_responses": 3, "link_weights": 5}
+OTHERS = {"p3_cover": 4, "tagged_regions": 2, "wikified_contents": 3, "plain_text": 5, "definition_summary": 3, "preprocessed_html": 6, "link_weights": 5}
 
 
 def plain(v):
