@@ -37,32 +37,33 @@ def folded(col: Column) -> Column:
 def suffix_array(tokens: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and how many tokens each has in common with the one before it; a suffix ends with its record, at `end`.
 
-    Prefix doubling: suffixes sorted by their first h tokens are sorted by 2 h by the ranks of their halves, until no two that can still
+    Prefix doubling: suffixes sorted by their first h tokens are sorted by 2 h by the ranks of their halves, those only that have an equal, until no two that can still
     be told apart are equal; equal ones keep the order of their places. The ranks of every h are kept, so the common prefix of
     two neighbours is put together from the longest blocks down, for all at once.
     """
     n = len(tokens)
-    place = np.arange(n)
-    left = end - place
-    ranks = [pd.factorize(tokens, sort=True)[0].astype(np.int32)]
-    order, h = np.argsort(ranks[0], kind="stable"), 1
+    left = end - np.arange(n)
+    order, h = np.argsort(tokens, kind="stable"), 1
+    new = np.append(True, tokens[order[1:]] != tokens[order[:-1]])
+    rank = np.empty(n, np.int32)  # of a group of equals: the place of its first in the order
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    ranks = [rank]
     while True:
-        rank = ranks[-1]
-        sorted_ = rank[order]
-        tied = np.zeros(n, bool)
-        same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
-        tied[same], tied[same + 1] = True, True
-        if not (tied & (left[order] > h)).any():
+        at = np.flatnonzero(~new | ~np.append(new[1:], True))  # those that have an equal
+        which = order[at]
+        goes_on = left[which] > h
+        if not goes_on.any():
             break
-        half = np.zeros(n, np.int64)  # 0: the record ends within the first h tokens
-        goes_on = left > h
-        half[goes_on] = rank[place[goes_on] + h].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (int(rank.max()) + 2) + half
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.empty(n, np.int32)
-        new[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-        ranks.append(new)
+        half = np.zeros(len(at), np.int64)  # 0: the record ends within the first h tokens
+        half[goes_on] = rank[which[goes_on] + h].astype(np.int64) + 1
+        key = rank[which].astype(np.int64) * (n + 1) + half
+        by = np.argsort(key, kind="stable")
+        order[at], key = which[by], key[by]
+        fresh = np.append(True, key[1:] != key[:-1])
+        new[at] = fresh
+        rank = rank.copy()
+        rank[order[at]] = at[fresh][np.cumsum(fresh) - 1]
+        ranks.append(rank)
         h *= 2
     common = np.zeros(n, np.int64)
     a, b = order[:-1], order[1:]
