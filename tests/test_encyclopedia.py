@@ -167,6 +167,22 @@ def test_titles(df):
     assert t(None, TI.clean_title) is None
 
 
+def test_small_helpers(spark, df, links):
+    x = df([("a |b| c ", 0.12345678, "Cats"), ("d", 0.5, "Dogs"), (None, None, None)], "x string, v double, w string")
+    dest, text = TI.link_parts(F.col("x"))
+    assert rows_of(x.select(dest.alias("d"), text.alias("t"))) == [(None, None), ("a", " c "), ("d", "d")]
+    assert rows_of(x.where("v is not null").select(TI.six_digits(F.col("v")).alias("s"), TI.percent(F.col("v")).alias("p"))) == [("0.123457", "12.35%"), ("0.500000", "50.00%")]
+    T.register_sql(spark)
+    x.createOrReplaceTempView("helpers")
+    assert rows_of(spark.sql("select simple_stem(w) as a, porter_stem(lower(w)) as b, clean_term(w) as c from helpers")) == [(None, None, None), ("cat", "cat", "cats"), ("dog", "dog", "dogs")]
+    assert rows_of(L.out_in_links_of(links, df([(4,), (5,), (4,)], "id bigint"))) == [(1, 4), (2, 4), (5, 4)]
+    pairs = df([("a", 1), ("a", 1), ("b", None), ("", 2), (None, 2), ("a", 2)], "t string, i bigint")
+    assert rows_of(A.count_anchors(pairs, "t", "i")) == [("a", 1, 2), ("a", 2, 1)]
+    assert M.strip_lone_links("[[a]]\n b [[c]]\n  [[d]] \ne") == " b [[c]]\ne"
+    a = df([("x", 1, 9), ("x", 2, 1)], "text string, id bigint, n bigint")
+    assert rows_of(A.frequent_senses(a, 3)) == [("x", 1, 9)]
+
+
 def test_terms(df):
     words = "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional rational digitizer operator feudalism decisiveness hopefulness formality triplicate formative formalize electrical goodness revival allowance inference adjustable replacement adjustment adoption homologous effective bowdlerize probate rate cease controlling rolling"
     stems = "caress poni ti caress cat feed agre plaster bled motor sing conflat troubl size hop tan fall hiss fizz fail file happi sky relat condit ration digit oper feudal decis hope formal triplic form formal electr good reviv allow infer adjust replac adjust adopt homolog effect bowdler probat rate ceas control roll"
