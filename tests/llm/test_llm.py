@@ -153,6 +153,42 @@ def test_vote_keeps_elements_whatever_the_number(df):
         assert text == "## H\n- A\n- B\n\n$$m$$\n\nbody"
 
 
+def test_elements_take_no_vote(df, monkeypatch):
+    """p5_found reports every element by definition, so it takes no vote; the same elements stand in what is voted on."""
+    from linkloom.llm import queries
+
+    rows = [(i, f"<nav class='top'><a href='x'>Home</a></nav><ul><li><a href='u'>e {i}</a></ul>\n\n== H ==\nbody $m$\n\n    code", m) for i, m in enumerate(("html", "wikitext", None, "odd"))]
+    d = df([*rows, rows[0], (9, None, "html"), (None, "* x", "text")], "co_id bigint, content string, co_model string")
+    voted_on = rows_of(K.structure(d, "co_id", "content", "co_model").where("kind <> 'text'").select("co_id", "seq", "kind", "val"))
+    monkeypatch.setattr(K, "winning_paths", lambda docs: pytest.fail("a vote that can't change a row"))
+    got = rows_of(queries.p5_found(lambda name: d))
+    assert got == voted_on == [(None, 1, "item", "x")] + [(i, k, *e) for i in range(4) for k, e in enumerate([("item", f"e {i}"), ("heading", "H"), ("formula", "m"), ("code", "code")], 1)]
+
+
+LINKS = ["<a href='u'>Home</a>", "[[Main page|Home]]", "[[Home]]", "[Home](u)", "[https://x.y Home]", "[Home][1]", "\\href{u}{\\textbf{Home}}"]
+
+
+@pytest.mark.parametrize("link", LINKS)
+def test_bars_of_any_link_lose(df, link):
+    """A bar of links loses in whatever markup they are written; on a host that writes in its bars it is content."""
+    page = "<div class='bar'>{}</div>\n\n<p>body of {} page {}</p>"
+    rows = [(i, page.format(link, link, i), "wikitext") for i in range(3)] + [(10 + i, page.format(link + " and words" * (i > 0), link, i), "latex") for i in range(3)]
+    assert voted(df, rows) == {("wikitext", "div.bar", "text")}
+    clean = dict(rows_of(K.clean_documents(df(rows, "id bigint, content string, model string"), "id", "content", "model")))
+    assert clean[1] == "body of Home page 1" and clean[10] == "Home\n\nbody of Home page 0"
+
+
+def test_text_outside_of_containers_stays(df):
+    """Where nothing stands in a container there is none to vote on, be it all links."""
+    d = df([(i, x, m) for i, (x, m) in enumerate(zip(LINKS[:1] + LINKS[2:4] + LINKS[6:], ("html", "wikitext", "markdown", "latex"), strict=True))], "id bigint, content string, model string")
+    assert rows_of(K.clean_documents(d, "id", "content", "model")) == [(i, "Home") for i in range(4)]
+
+
+def test_link_labels():
+    for s, want in [("[[a|b]] [[c [[d|e]] f]] g", ["b", "c e f"]), ("[[open x", []), ("<a href='x'>A [[b]]</a> [[c]]", ["A [[b]]", "c"]), ("[https://x] \\url{http://a} [x](u)", ["http://a", "x"])]:
+        assert K.link_labels(s) == want
+
+
 def test_open_container_ends_with_its_paragraph():
     s = "<nav class='top'><a href='x'>Home</a>\n\nkept\n\n<h2>T</h2>\n\n* e\n\n<math>f</math>"
     got = [(e.kind, e.val, e.path) for e in K.elements(s)]
